@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most ids that keep_ids() broadcasts; beyond it the ids are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,20 @@ class Scratch:
             fs.delete(p, True)
 
 
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows: texts are long, and a batch lies in memory on
+    both sides. At the end of a partition Arrow's unused memory goes back."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """df's rows whose column is (left_semi) or isn't (left_anti) among ids, one column of that
     name. The ids are broadcast only if a count finds at most BROADCAST_IDS of them."""

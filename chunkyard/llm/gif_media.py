@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkyard.llm.common import arrow_map
+
 #: Samples of a row, rows of a frame, hundredths of a second of a frame, in stored payloads.
 WIDTH, HEIGHT, DELAY = 64, 1024, 4
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
@@ -304,7 +306,7 @@ def payload_media(docs: DataFrame, *, keep_media: bool = True, id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values()))], names=["doc_id", *kinds])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def gif_frames(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -330,4 +332,4 @@ def gif_frames(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "me
                 kinds = [pa.int32()] * 9 + [pa.list_(pa.int64()), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(rows), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "frame", "start", "delay", "left", "top", "width", "height", "disposal", "transparent", "histogram", "rgba", "error"])
 
-    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("m")).mapInArrow(run, "id long, frame int, start int, delay int, left int, top int, width int, height int, disposal int, transparent int, histogram array<long>, rgba binary, error string")
+    return arrow_map(media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("m")), run, "id long, frame int, start int, delay int, left int, top int, width int, height int, disposal int, transparent int, histogram array<long>, rgba binary, error string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import GOLD, MASK, Scratch, WordHashes, keep_ids, mix, shingle_set, word_hashes, words_of
+from chunkyard.llm.common import GOLD, MASK, Scratch, WordHashes, arrow_map, keep_ids, mix, shingle_set, word_hashes, words_of
 
 #: 32 bands of 5 ranks: a pair at the similarity 0.8 has no common band once in 300,000 times, at 0.9 once in 10^12.
 BANDS, ROWS = 32, 5
@@ -154,7 +154,7 @@ def connected_components(tmp: Scratch, links: DataFrame) -> DataFrame:
     Union-find inside partitions, then alternating large and small stars on what is left, until
     each node hangs on one root. Links stay distributed.
     """
-    edges = tmp.save(links.toDF("u", "v").mapInArrow(_forest, "u long, v long").distinct())
+    edges = tmp.save(arrow_map(links.toDF("u", "v"), _forest, "u long, v long").distinct())
     while True:
         roots = edges.select(F.col("u").alias("v"))
         flat = edges.join(roots, "v", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty()
@@ -165,7 +165,7 @@ def connected_components(tmp: Scratch, links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v")
-        new = tmp.save(small.mapInArrow(_forest, "u long, v long").distinct())
+        new = tmp.save(arrow_map(small, _forest, "u long, v long").distinct())
         tmp.drop(edges)
         edges = new
 
@@ -226,13 +226,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     """
     tmp = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = tmp.save(docs.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n long, fp binary, bands array<long>"))
+    signed = tmp.save(arrow_map(docs, _signatures(shingle, bands, rows), "doc_id long, n long, fp binary, bands array<long>"))
     usable = signed.where("n > 0 and doc_id is not null")
     classes = tmp.save(usable.groupBy("fp").agg(F.min("doc_id").alias("nid"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     banded = classes.select("nid", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = tmp.save(banded.join(shared, "key"))
-    sets = tmp.save(keep_ids(docs.where("doc_id is not null"), members.select(F.col("nid").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(shingle), "nid long, s array<long>").distinct())
+    sets = tmp.save(arrow_map(keep_ids(docs.where("doc_id is not null"), members.select(F.col("nid").alias("doc_id")).distinct(), "doc_id"), _sets(shingle), "nid long, s array<long>").distinct())
 
     mates = members.groupBy("nid").agg(F.sum("c").alias("mates"))
     hubs = members.join(mates, "nid").groupBy("key").agg(F.max_by(F.struct(F.col("nid").alias("hub"), F.col("n").alias("hub_n")), F.struct("mates", -F.col("nid"))).alias("h")).select("key", "h.*")

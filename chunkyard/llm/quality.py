@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkyard.llm.common import arrow_map
+
 #: The bounded sample: labelled rows of either class, in the order of a hash of doc_id, and the longest text taken for it.
 FIT_ROWS, FIT_CHARS = 2500, 30_000
 #: Bytes of either dictionary, the compression level, folds that calibrate on text the dictionary hasn't seen.
@@ -142,7 +144,7 @@ def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
             score = shared.value.scores([shared.value.features((t.as_py() or "").encode()) for t in b.column(1)])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(score)], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -156,4 +158,4 @@ def keep_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
             score = shared.value.scores([shared.value.features((t.as_py() or "").encode()) for t in b.column(at)])
             yield b.filter(pa.array(score >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
