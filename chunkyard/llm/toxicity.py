@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import WordHashes, shingle_set, word_hashes, words_of
+from chunkyard.llm.common import WordHashes, arrow_map, shingle_set, word_hashes, words_of
 from chunkyard.llm.near_dedup import band_keys, super_min_hash
 
 #: Features kept for the regression, the fewest toxic sample rows that hold a feature, how many times likelier it is in them at least.
 FEATURES, LEAST_ROWS, LEAST_RATIO = 4000, 3, 10.0
 #: The bounded sample, as in quality.labelled_sample().
-FIT_ROWS = 4000
+FIT_ROWS = 3000
 GRADES = 4
 _WORD = re.compile(r"\w+")
 
@@ -56,8 +55,26 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(evidence, float)[:, None] - self.thresholds, -30, 30)))
 
 
-def sparse(texts: list[str]) -> list[set[str]]:
-    return [{f for w in set(_WORD.findall(t.lower())) for f in word_features(w)} for t in texts]
+class Vocabulary:
+    """Distinct words of texts as numbers, and the hashes of each word's features."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.hashes: list[np.ndarray] = []
+
+    def features(self, text: str) -> np.ndarray:
+        """The sorted hashes of a text's distinct features."""
+        at = []
+        for w in set(_WORD.findall(text.lower())):
+            n = self.words.get(w)
+            if n is None:
+                n = self.words[w] = len(self.hashes)
+                self.hashes.append(np.array([xxhash.xxh64_intdigest(f) for f in word_features(w)], np.uint64))
+            at.append(self.hashes[n])
+        return np.unique(np.concatenate(at)) if at else np.empty(0, np.uint64)
+
+    def names(self, wanted: set[int]) -> dict[int, str]:
+        return {h: f for w in self.words for f in word_features(w) if (h := xxhash.xxh64_intdigest(f)) in wanted}
 
 
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -119,26 +136,28 @@ def fit_toxicity(sample: list[tuple[int, str, int]]) -> ToxicityModel:
     y = np.array([t for *_, t in sample], int)
     if len(set(y)) < 2:
         return ToxicityModel({}, [-30.0 if len(y) and y.all() else 30.0] + [30.0] * (GRADES - 2))
-    rows = sparse([t for _, t, _ in sample])
-    held = [Counter(f for r, t in zip(rows, y, strict=True) if t == v for f in r) for v in (0, 1)]
-    n = [(y == v).sum() + 1 for v in (0, 1)]
-    total, tried = n[0] + n[1], sum(k >= LEAST_ROWS for k in (held[0] + held[1]).values())
-
-    def strength(f: str) -> float:
-        """The likelihood ratio statistic of a feature that is commoner in toxic rows; else 0."""
-        a, b = held[1][f], held[0][f]
-        if a * n[0] <= LEAST_RATIO * b * n[1]:
-            return 0.0
-        cells = ((a, n[1]), (b, n[0]), (n[1] - a, n[1]), (n[0] - b, n[0]))
-        sums = (a + b, a + b, total - a - b, total - a - b)
-        return 2 * sum(k * math.log(k * total / (m * c)) for (k, m), c in zip(cells, sums, strict=True) if k > 0)
-
-    # So strong that chance gives hardly one such feature among all that were tried.
-    scored = {f: strength(f) for f, k in held[1].items() if k >= LEAST_ROWS}
-    least = 2.5 * math.log(max(tried, 2))
-    telling = sorted((f for f, x in scored.items() if x >= least), key=lambda f: (-scored[f], f))[:FEATURES]
-    index = {f: i for i, f in enumerate(telling)}
-    cols = [sorted(index[f] for f in r if f in index) for r in rows]
+    words = Vocabulary()
+    rows = [words.features(t) for _, t, _ in sample]
+    n = [int((y == v).sum()) for v in (0, 1)]
+    features, toxic = np.unique(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), return_counts=True)
+    common = toxic >= LEAST_ROWS
+    features, a = features[common], toxic[common].astype(float)
+    clean = np.concatenate([r[np.isin(r, features, assume_unique=True)] for r, t in zip(rows, y, strict=True) if not t])
+    b = np.bincount(np.searchsorted(features, clean), minlength=len(features)).astype(float)
+
+    def part(k, of, other):  # one cell of the likelihood ratio statistic
+        return np.where(k > 0, k * np.log(np.maximum(k, 1) * len(y) / (of * np.maximum(other, 1))), 0.0)
+
+    strength = 2 * (part(a, n[1], a + b) + part(b, n[0], a + b) + part(n[1] - a, n[1], len(y) - a - b) + part(n[0] - b, n[0], len(y) - a - b))
+    # Commoner in toxic rows, and so strongly that chance gives hardly one such feature among all that were tried.
+    good = (a * n[0] > LEAST_RATIO * b * n[1]) & (strength >= 2.5 * np.log(max(len(features), 2)))
+    order = np.lexsort((features, -strength))
+    chosen = features[order[good[order]][:FEATURES]]
+    named = words.names(set(chosen.tolist()))
+    telling = [named[h] for h in chosen.tolist()]
+    by_hash = np.argsort(chosen)
+    cols = [np.sort(by_hash[np.flatnonzero(np.isin(chosen[by_hash], r))]).tolist() for r in rows]
+    del words, rows
     hits = np.array([len({telling[c].lstrip("=")[:4] for c in r}) for r in cols])
     cut = np.quantile(hits[y == 1], [1 / 3, 2 / 3])
     grades = np.where(y == 1, 1 + (hits > cut[0]) + (hits > max(cut[1], cut[0] + 1)), 0)
@@ -167,7 +186,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             grade = (edge[:, :-1] - edge[:, 1:]).argmax(1)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(s.sum(1)), pa.array(grade.astype(np.int32)), pa.array(s[:, 0] >= 0.5)], names=["doc_id", "severity", "grade", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, severity double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -179,4 +198,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_above(shared.value, b.column(at))[:, 0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
