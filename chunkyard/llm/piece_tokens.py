@@ -17,127 +17,140 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkyard.llm.common import arrow_map
+
 SPACE = "▁"
-_PARTS = re.compile(" +[^ \n]*|\n|[^ \n]+")
+#: Marks before which a word is cut off, if no piece of the model holds such a mark after a letter or digit.
+MARKS = ",.;:!?|%&*#$"
 _codecs: dict[str, PieceCodec] = {}
 
 
+class Remembered(dict):
+    """key -> make(key). Of the keys, the `most` latest new ones and those of the generation before are kept."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class PieceCodec:
     """Encoder and decoder of one BPE model with byte fallback, identity normalisation and a
-    dummy prefix. Texts are cut where no piece can reach across; each distinct segment is encoded once
-    for as long as it stays among the `most` remembered."""
+    dummy prefix. Texts are cut where no piece can reach across, and segments are remembered."""
 
-    def __init__(self, model: str, most: int = 150_000):
+    def __init__(self, model: str, most: int = 200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         size = sp.get_piece_size()
         self.byte = [0] * 256
         self.pieces: dict[str, int] = {}
-        self.raw: dict[int, bytes] = {}
+        self.raw: dict[str, bytes] = {}  # by the decimal id
         for i in range(size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
-                self.raw[i] = bytes([int(piece[3:5], 16)])
+                self.raw[str(i)] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.pieces[piece] = i
-                self.raw[i] = piece.replace(SPACE, " ").encode()
+                self.raw[str(i)] = piece.replace(SPACE, " ").encode()
         if sp.encode("ﬁ  x") != sp.encode(sp.decode(sp.encode("ﬁ  x"))) or sp.decode(sp.encode("ﬁ  x")) != "ﬁ  x":
             raise ValueError("the model's normalisation isn't the identity")
         self.score = {p: sp.get_score(i) for p, i in self.pieces.items()}
         self.cut_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.cut_lines = not any("\n" in p and len(p) > 1 for p in self.pieces)
+        joined = {y for p in self.pieces for x, y in zip(p, p[1:], strict=False) if x.isalnum()}
+        marks = "".join(re.escape(m) for m in MARKS if m not in joined)
+        self.parts = re.compile(rf" *[^\W_]+(?=[ \n{marks}]|\Z)| +[^ \n]*|\n|[^ \n]+")
         self.automaton = ahocorasick.Automaton()
+        self.split: dict[str, tuple[str, str]] = {}  # the last merge of each piece that merging gives; others never come out
         for p in self.pieces:
-            if len(p) > 1 and self.merged(p) == [p]:  # others never come out of merging
+            if len(p) > 1 and (halves := self.halves(p)):
+                self.split[p] = halves
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.most = most
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, str] = {}
-        self.text_of: dict[str, bytes] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """Best-score-first, leftmost-first merging of a short text's characters."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
+        self.fits = Remembered(lambda pair: self.apart(*pair), most)
+        self.decimal = Remembered(lambda token: ",".join(str(i) for i in self.token_ids(token)), most)
+        self.known = Remembered(lambda part: ",".join([self.decimal[t] for t in self.tokens(part.replace(" ", SPACE))]), most)
+
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts of a piece's last merge, best score first and leftmost first; None if its
+        characters don't merge to it."""
+        parts, score = list(piece), self.score
+        while len(parts) > 2:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if best is None:
-                break
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def compatible(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        ok = self.fits.get(pair)
-        if ok is None:
-            if len(self.fits) >= 2 * self.most:
-                self.fits.clear()
-            ok = self.fits[pair] = self.merged(left + right) == [left, right]
-        return ok
+        return (parts[0], parts[1])
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether merging left + right gives just these two tokens.
+
+        Undo the two tokens' merges, the latest first. Whenever the parts that meet at the border could
+        merge before the merge that is undone next had used one of them, the tokens don't stay apart. Of
+        equal scores the merge further left goes first: the border's before right's, after left's."""
+        score, split = self.score, self.split
+        limit, ties = None, True
+        while True:
+            s = score.get(left + right)
+            if s is not None and (limit is None or s > limit or (ties and s == limit)):
+                return False
+            a, b = split.get(left), split.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and score[left] < score[right]):
+                limit, ties, left = score[left], False, a[1]
+            else:  # right's merge is the later one; of equal ones the right one is
+                limit, ties, right = score[right], True, b[0]
 
     def tokens(self, text: str) -> list[str]:
         """The prefix table of a segment, read backwards."""
         last = list(text)  # last[i]: the last token of text[: i + 1]; a character by itself until a match fits
-        ends: dict[int, list[str]] = {}
+        fits, done = self.fits, -1
         for end, token in self.automaton.iter(text):
-            ends.setdefault(end, []).append(token)
-        compatible = self.compatible
-        for end, matches in ends.items():
-            for token in matches:
+            if end != done:
                 start = end - len(token)
-                if start < 0 or compatible(last[start], token):
+                if start < 0 or fits[last[start], token]:
                     last[end] = token
-                    break
+                    done = end
         out, i = [], len(text) - 1
         while i >= 0:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
-
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for t in self.tokens(text):
-            i = self.pieces.get(t)
-            out.extend([i] if i is not None else (self.byte[b] for b in t.encode()))
+            token = last[i]
+            out.append(token)
+            i -= len(token)
+        out.reverse()
         return out
 
-    def _segment(self, part: str) -> str:
-        """A segment's ids in decimal, joined by commas."""
-        if len(self.known) >= self.most:
-            self.known.clear()
-            self.text_of.clear()
-        joined = self.known[part] = ",".join(map(str, self.ids(part.replace(" ", SPACE))))
-        return joined
+    def token_ids(self, token: str) -> list[int]:
+        """The id of a piece, or of a character's bytes."""
+        i = self.pieces.get(token)
+        return [i] if i is not None else [self.byte[b] for b in token.encode()]
 
-    def encode(self, text: str) -> list[str]:
-        """The ids of a text's segments, each as decimals joined by commas."""
+    def encode(self, text: str) -> str:
+        """A text's ids as decimals joined by commas."""
         if not text:
-            return []
+            return ""
         text = " " + text.replace(SPACE, " ")
-        if not (self.cut_spaces and self.cut_lines):
-            parts = [text]
-        elif "  " in text or " \n" in text or "\n" in text or text[-1] == " ":
-            parts = _PARTS.findall(text)
-        else:
-            parts = [" " + w for w in text[1:].split(" ")]
-        get, segment = self.known.get, self._segment
-        return [get(p) or segment(p) for p in parts]
-
-    def decode(self, groups: list[str]) -> str:
-        """The text of ids given as groups of decimals; a group holds whole characters."""
-        out, known = [], self.text_of
-        for g in groups:
-            t = known.get(g)
-            if t is None:
-                t = known[g] = b"".join([self.raw[int(i)] for i in g.split(",")])
-            out.append(t)
-        text = b"".join(out).decode("utf-8", "replace")
+        parts = self.parts.findall(text) if self.cut_spaces and self.cut_lines else [text]
+        return ",".join(map(self.known.__getitem__, parts))
+
+    def decode(self, ids: str) -> str:
+        """The text of decimal ids joined by commas."""
+        text = b"".join(map(self.raw.__getitem__, ids.split(",") if ids else ())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -161,9 +174,8 @@ def piece_codes(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col
         for b in batches:
             rows, ids = [], [np.empty(0, np.int32)]
             for t in b.column(1):
-                groups = c.encode(t.as_py() or "")
-                joined = ",".join(groups)
-                text = c.decode(groups)
+                joined = c.encode(t.as_py() or "")
+                text = c.decode(joined)
                 rows.append((len(joined) and joined.count(",") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text if keep_ids else None))
                 if keep_ids and joined:
                     ids.append(np.fromstring(joined, np.int32, sep=","))
@@ -176,4 +188,4 @@ def piece_codes(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns[:k]], names=["doc_id", *names[:k]])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string, ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
