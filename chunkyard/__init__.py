@@ -1,0 +1 @@
+"""Voxel chunks as DataFrames: a Spark-native engine."""
