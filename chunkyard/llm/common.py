@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most ids that keep_ids() broadcasts; beyond it the ids are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of text of a rule base that small() broadcasts at most.
+BROADCAST_BYTES = 8_000_000
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 
@@ -33,6 +35,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def small(df: DataFrame, size: int) -> DataFrame:
+    """df, made from `size` bytes on the driver, as a broadcast side; beyond BROADCAST_BYTES the join shuffles."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 class Scratch:
     """Parquet tables in the shared checkpoint folder: they cut lineage, survive the loss of
     executors, and go when dropped or else when the driver's JVM ends."""

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chunkyard.llm.common import small
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (identifier, sentence); fixed values: wording of public licences and notices.
@@ -71,13 +73,14 @@ def license_matches(docs: DataFrame, sentences=SENTENCES, rules=RULES, *, id_col
     between them is free. Where one rule begins another, the longer one's match replaces the shorter's. first_sentence counts all sentences from 0, by the reading that counted, by lines if
     equal. Null and empty texts match nothing; rows that repeat a doc_id are scanned apart and their
     counts add up; a null doc_id is a value like others. The two tables are constants of this module or of the
-    caller's rule base; Spark broadcasts them only below its threshold.
+    caller's rule base and broadcast up to BROADCAST_BYTES; beyond that the joins shuffle.
     """
     spark = docs.sparkSession
     longest = max((len(ids) for _, ids in rules), default=1)
-    known = spark.createDataFrame([(i, normalised(s)) for i, s in sentences], "sid int, norm string").dropDuplicates(["norm"])
+    numbers = {normalised(s): i for i, s in reversed(sentences)}  # of equal sentences the first
+    known = small(spark.createDataFrame([(i, s) for s, i in numbers.items()], "sid int, norm string"), sum(len(s) + 50 for s in numbers))
     least = min((len(normalised(s)) for _, s in sentences), default=1)
-    ruled = spark.createDataFrame([(name, list(ids), ids[0], len(ids)) for name, ids in rules], "license string, ids array<int>, sid int, k int")
+    ruled = small(spark.createDataFrame([(name, list(ids), ids[0], len(ids)) for name, ids in rules], "license string, ids array<int>, sid int, k int"), sum(len(n) + 8 * len(ids) + 50 for n, ids in rules))
 
     text = F.col("text")
     by_line = F.regexp_replace(text, r"([.!?])[ \t\r\f]+", "$1\n")
