@@ -40,7 +40,7 @@ def cut_points(data: bytes) -> list[int]:
     low = (_GEAR[np.frombuffer(data, np.uint8)] & np.uint64((1 << bits) - 1)).astype(np.int64)
     total = np.zeros(len(low), np.int64)
     for k in range(bits):
-        total[k:] += low[: len(low) - k] << k
+        total[k:] += low[: max(0, len(low) - k)] << k
     hits = np.flatnonzero(total & ((1 << bits) - 1) == 0) + 1
     ends, start = [], 0
     while start < len(data):
