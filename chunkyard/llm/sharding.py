@@ -5,69 +5,31 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chunkyard.llm.common import Scratch
 
-#: Groups that one task differences, partial partitions that one task combines, rows in one run of slots: on average.
-CHUNK, FAN_IN, RUN = 20_000, 256, 50_000
+#: Light groups that one task differences and rows in one run of slots, on average; a group is heavy above this part of all bytes.
+CHUNK, RUN, HEAVY = 20_000, 50_000, 10_000
 
 
-def difference(weights: list[list[int]], shards: int) -> tuple[list[int], list[list[int]]]:
-    """Combine partial partitions of `shards` sums each until one is left.
-
-    Always the two with the largest spread (largest minus smallest sum), the one's largest sums on the
-    other's smallest; ties go to the earlier. Returns the sums, largest first, and for
-    each input partition the final place of each of its sums.
-    """
-    sums, trees, heap = [], [], []
-    for i, w in enumerate(weights):
-        order = sorted(range(shards), key=lambda s: -w[s])
-        sums.append([w[s] for s in order])
-        trees.append((i, order))
-        heap.append((sums[i][-1] - sums[i][0], i))
-    heapq.heapify(heap)
-    # A partition is its sums and, for each place, the list of (input, sum) pairs that lie there: kept as links to parents.
-    parents: list[list[tuple[int, list[int]]]] = [[] for _ in weights]
-    while len(heap) > 1:
-        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        total = [x + y for x, y in zip(sums[a], reversed(sums[b]), strict=True)]
-        order = sorted(range(shards), key=lambda s: -total[s])
-        new = len(sums)
-        sums.append([total[s] for s in order])
-        place = [0] * shards
-        for where, s in enumerate(order):
-            place[s] = where
-        parents.append([(a, place), (b, place[::-1])])
-        sums[a] = sums[b] = []
-        heapq.heappush(heap, (sums[new][-1] - sums[new][0], new))
-    top = len(sums) - 1
-    final: dict[int, list[int]] = {top: list(range(shards))}
-    out: list[list[int]] = [[] for _ in weights]
-    for node in range(top, -1, -1):
-        at = final.pop(node)
-        for child, place in parents[node]:
-            final[child] = [at[p] for p in place]
-        if node < len(weights):
-            places = [0] * shards
-            for where, s in enumerate(trees[node][1]):
-                places[s] = at[where]
-            out[node] = places
-    return sums[top], out
-
-
-def difference_items(weights: list[int], shards: int) -> tuple[list[int], list[int]]:
-    """difference() for single items: only each item's own place is tracked."""
-    # Items of large weight need full tuples; a partition of one item is (weight, 0, ..., 0).
+def difference(weights: list[int], shards: int, start: list[int] | None = None) -> tuple[list[int], list[int]]:
+    """Karmarkar-Karp: each weight is a partial partition of `shards` sums; the two with the largest spread
+    (largest minus smallest sum; ties: the earlier) are combined, the one's largest sums on the other's
+    smallest, until one is left. start: sums that the shards have already; its places are then the shards'
+    numbers. Returns the shards' sums and each weight's shard."""
     n = len(weights)
+    sums = {i: [w] + [0] * (shards - 1) for i, w in enumerate(weights)}
     heap = [(-w, i) for i, w in enumerate(weights)]
+    base = sorted(range(shards), key=lambda s: -start[s]) if start else list(range(shards))
+    if start or not n:
+        sums[n] = [start[s] for s in base] if start else [0] * shards
+        heap.append((sums[n][-1] - sums[n][0], n))
     heapq.heapify(heap)
-    sums: dict[int, list[int]] = {i: [w] + [0] * (shards - 1) for i, w in enumerate(weights)}
     parents: dict[int, tuple] = {}
-    new = n
+    new = n + 1
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
         total = [x + y for x, y in zip(sums.pop(a), reversed(sums.pop(b)), strict=True)]
@@ -76,31 +38,35 @@ def difference_items(weights: list[int], shards: int) -> tuple[list[int], list[i
         parents[new] = (a, b, order)
         heapq.heappush(heap, (sums[new][-1] - sums[new][0], new))
         new += 1
-    top = new - 1
-    places = [0] * n
-    final = {top: list(range(shards))}
-    for node in range(top, -1, -1):
-        at = final.pop(node)
-        if node < n:
-            places[node] = at[0]
-            continue
-        a, b, order = parents[node]
-        back = [0] * shards
-        for where, s in enumerate(order):
-            back[s] = at[where]
-        final[a], final[b] = back, back[::-1]
-    return sums[top], places
+    top = heap[0][1]
+    at = {top: list(range(shards))}  # a partition's places -> the last one's
+    for node in range(top, n, -1):
+        if node in parents:
+            a, b, order = parents[node]
+            back = [0] * shards
+            for where, s in enumerate(order):
+                back[s] = at[node][where]
+            at[a], at[b] = back, back[::-1]
+            del at[node]
+    shard = list(range(shards))
+    if start:
+        for place, s in zip(at[n], base, strict=True):
+            shard[place] = s
+    out = [0] * shards
+    for place, w in enumerate(sums[top]):
+        out[shard[place]] = w
+    return out, [shard[at[i][0]] for i in range(n)]
 
 
 def byte_shards(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; law is `bytes`.
 
     A row's size is its text's UTF-8 bytes (null: none) plus `overhead`. Rows with equal texts are one
-    indivisible group (null counts as empty). Groups are dealt into chunks by hash, each chunk is
-    differenced into `shards` partial sums, and the chunks' partial partitions, not their rows, are
-    combined by the same rule in rounds of FAN_IN until one is left. slot numbers a shard's rows from 0
-    without gaps, in the order of a hash run, then doc_id (nulls first); which of equal rows comes first
-    is free. An empty table gives no rows; other columns are ignored.
+    indivisible group (null counts as empty). Groups above one HEAVY-th of all bytes, fewer than HEAVY, are
+    differenced in one task. The others are dealt by hash into chunks, and each chunk is differenced on top of its
+    part of the heavy groups' sums, so that chunks need not wait for one another and light groups make up for heavy
+    ones. slot numbers a shard's rows from 0 without gaps, in the order of a hash run, then doc_id (nulls first); which
+    of equal rows comes first is free. An empty table gives no rows; other columns are ignored.
     """
     tmp = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -108,39 +74,25 @@ def byte_shards(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", te
         "doc_id", (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("g")
     )
     rows = tmp.save(rows)
-    groups = rows.groupBy("g").agg(F.sum("size").alias("w"))
-    n = max(1, -(-groups.count() // CHUNK))
-    chunked = groups.withColumn("chunk", F.pmod(F.xxhash64("g"), F.lit(n)))
-
-    def first(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["w", "g"], ascending=[False, True], kind="stable")
-        return pd.DataFrame({"g": t["g"], "w": t["w"], "chunk": t["chunk"], "place": difference_items(t["w"].tolist(), shards)[1]})
-
-    placed = tmp.save(chunked.groupBy("chunk").applyInPandas(first, "g binary, w long, chunk long, place int"))
-    partial = placed.groupBy("chunk", "place").agg(F.sum("w").alias("w")).select(F.col("chunk").alias("node"), "place", "w")
-
-    def combine(t: pa.Table) -> pa.Table:
-        nodes = sorted(set(t.column("node").to_pylist()))
-        of = {x: [0] * shards for x in nodes}
-        for node, place, w in zip(*(t.column(c).to_pylist() for c in ("node", "place", "w")), strict=True):
-            of[node][place] = w
-        sums, places = difference([of[x] for x in nodes], shards)
-        up = t.column("up")[0].as_py()
-        out = [(x, p, up, places[i][p], of[x][p]) for i, x in enumerate(nodes) for p in range(shards)]
-        return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(("node", "place", "up", "up_place", "w"))})
-
-    levels = []
-    while True:  # each round has a FAN_IN-th of the partitions of the one before
-        n = -(-n // FAN_IN)
-        step = partial.withColumn("up", F.floor(F.col("node") / FAN_IN)).groupBy("up").applyInArrow(combine, "node long, place long, up long, up_place long, w long")
-        levels.append(tmp.save(step))
-        if n <= 1:
-            break
-        partial = levels[-1].groupBy(F.col("up").alias("node"), F.col("up_place").alias("place")).agg(F.sum("w").alias("w"))
-    at = placed.select("g", F.col("chunk").alias("node"), F.col("place").cast("long").alias("place"))
-    for level in levels:  # a level has shards x nodes rows
-        at = at.join(level.drop("w"), ["node", "place"]).select("g", F.col("up").alias("node"), F.col("up_place").alias("place"))
-    where = at.select("g", F.col("place").cast("int").alias("shard"))
+    groups = tmp.save(rows.groupBy("g").agg(F.sum("size").alias("w")))
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+
+    def deal(start: list[int] | None):
+        def run(t: pd.DataFrame) -> pd.DataFrame:
+            t = t.sort_values(["w", "g"], ascending=[False, True], kind="stable")
+            return pd.DataFrame({"g": t["g"], "shard": difference(t["w"].tolist(), shards, start)[1], "w": t["w"]})
+
+        return run
+
+    placed = "g binary, shard int, w long"
+    n = max(1, -(-count // CHUNK))
+    is_heavy = F.lit(n > 1) & (F.col("w") * HEAVY > F.lit(total))  # a single chunk holds them all
+    heavy = tmp.save(groups.where(is_heavy).groupBy(F.lit("heavy").alias("one")).applyInPandas(deal(None), placed))
+    start = [0] * shards
+    for r in heavy.groupBy("shard").agg(F.sum("w").alias("w")).collect():  # a row a shard
+        start[r.shard] = r.w // n
+    light = groups.where(~is_heavy).groupBy(F.pmod(F.xxhash64("g"), F.lit(n)).alias("chunk")).applyInPandas(deal(start), placed)
+    where = heavy.union(light).select("g", "shard")
     dealt = tmp.save(rows.join(where, "g").select("doc_id", "size", "text_crc32", "shard"))
     runs = max(1, -(-dealt.count() // (RUN * shards))) * 4
     dealt = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
