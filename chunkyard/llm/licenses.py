@@ -24,9 +24,10 @@ SENTENCES = (
     (7, "Licensed under CC BY 4.0."),
     (8, "Licensed under CC BY-SA 4.0."),
     (9, "All rights reserved."),
-    (10, "SPDX-License-Identifier: MIT"),
-    (11, "SPDX-License-Identifier: Apache-2.0"),
-    (12, "SPDX-License-Identifier: GPL-3.0-or-later"),
+    (10, "SPDX-License-Identifier:"),
+    (11, "MIT"),
+    (12, "Apache-2.0"),
+    (13, "GPL-3.0-or-later"),
     (20, 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     (21, "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     (22, 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
@@ -44,9 +45,9 @@ SENTENCES = (
 )
 #: (licence, sentence identifiers in order); fixed values.
 RULES = (
-    ("MIT", (1,)), ("MIT", (2,)), ("MIT", (3,)), ("MIT", (10,)), ("MIT", (20, 21, 22, 23)),
-    ("Apache-2.0", (4,)), ("Apache-2.0", (11,)), ("Apache-2.0", (30, 31, 32)),
-    ("GPL-3.0", (5,)), ("GPL-3.0", (12,)), ("GPL-3.0", (40, 41, 42)),
+    ("MIT", (1,)), ("MIT", (2,)), ("MIT", (3,)), ("MIT", (10, 11)), ("MIT", (20, 21, 22, 23)),
+    ("Apache-2.0", (4,)), ("Apache-2.0", (10, 12)), ("Apache-2.0", (30, 31, 32)),
+    ("GPL-3.0", (5,)), ("GPL-3.0", (10, 13)), ("GPL-3.0", (40, 41, 42)),
     ("CC-BY-NC-4.0", (6,)), ("CC-BY-4.0", (7,)), ("CC-BY-SA-4.0", (8,)),
     ("BSD-3-Clause", (50, 51, 52, 53)), ("BSD-2-Clause", (50, 51, 52)),
     ("all-rights-reserved", (9,)),
@@ -67,7 +68,7 @@ def norm_column(c: Column) -> Column:
 def license_matches(docs: DataFrame, sentences=SENTENCES, rules=RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, n_matches, first_sentence: a row for each document and licence found in it.
 
-    Sentences end at `.`, `!` or `?` before white space. Read by lines (a line end ends a sentence too) and
+    Sentences end at `.`, `!`, `?` or `:` before white space. Read by lines (a line end ends a sentence too) and
     as running text (only an empty line does), whichever has more matches of a licence counts. A rule
     matches where its identifiers follow one another among the document's known sentences; text
     between them is free. Where one rule begins another, the longer one's match replaces the shorter's. first_sentence counts all sentences from 0, by the reading that counted, by lines if
@@ -83,8 +84,8 @@ def license_matches(docs: DataFrame, sentences=SENTENCES, rules=RULES, *, id_col
     ruled = small(spark.createDataFrame([(name, list(ids), ids[0], len(ids)) for name, ids in rules], "license string, ids array<int>, sid int, k int"), sum(len(n) + 8 * len(ids) + 50 for n, ids in rules))
 
     text = F.col("text")
-    by_line = F.regexp_replace(text, r"([.!?])[ \t\r\f]+", "$1\n")
-    flow = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\n[ \t\r\f]*\n", "\u0001"), r"[ \t\r\f\n]+", " "), "([.!?]) ", "$1\u0001")
+    by_line = F.regexp_replace(text, r"([.!?:])[ \t\r\f]+", "$1\n")
+    flow = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\n[ \t\r\f]*\n", "\u0001"), r"[ \t\r\f\n]+", " "), "([.!?:]) ", "$1\u0001")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").withColumn("row", F.monotonically_increasing_id())
     read = lambda how, c, mark: rows.select("doc_id", "row", F.lit(how).alias("how"), F.posexplode(F.split(c, mark)))
     pieces = read(0, by_line, "\n").union(read(1, flow, "\u0001")).where(F.length("col") >= least)
@@ -108,9 +109,9 @@ def license_sql(sentences=SENTENCES, rules=RULES) -> str:
 WITH known(sid, norm) AS (VALUES {known}), ruled(license, ids, sid, k) AS (VALUES {ruled}),
 d AS (SELECT doc_id, text, row_number() OVER () AS row FROM documents WHERE text IS NOT NULL),
 lists AS (
-  SELECT doc_id, row, 0 AS how, string_split(regexp_replace(text, '([.!?])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM d
+  SELECT doc_id, row, 0 AS how, string_split(regexp_replace(text, '([.!?:])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM d
   UNION ALL
-  SELECT doc_id, row, 1, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n[ \t\r\f]*\n', chr(1), 'g'), '[ \t\r\f\n]+', ' ', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) FROM d),
+  SELECT doc_id, row, 1, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n[ \t\r\f]*\n', chr(1), 'g'), '[ \t\r\f\n]+', ' ', 'g'), '([.!?:]) ', '\1' || chr(1), 'g'), chr(1)) FROM d),
 pieces AS (SELECT doc_id, row, how, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos FROM lists),
 found AS (SELECT doc_id, row, how, pos, sid FROM pieces JOIN known ON norm = trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))),
 follow AS (SELECT *, list(sid) OVER (PARTITION BY row, how ORDER BY pos ROWS BETWEEN CURRENT ROW AND {longest - 1} FOLLOWING) AS next FROM found),
