@@ -126,8 +126,12 @@ def save_stream(stream: np.ndarray, bpp: int = BPP, deflate: bool = True) -> byt
 
 
 def cells_of(voxels: DataFrame) -> DataFrame:
-    """chunk_id and the lists of its voxels' idx and color: one exchange; a chunk has at most 4,096."""
-    return voxels.groupBy("chunk_id").agg(F.collect_list(F.struct("idx", "color")).alias("cells"))
+    """chunk_id and the lists of its voxels' idx and color: one exchange; a chunk has at most 4,096.
+
+    The number of partitions is given, since what follows costs far more than its bytes would tell
+    the adaptive planner, which would merge them."""
+    n = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return voxels.repartition(n, "chunk_id").groupBy("chunk_id").agg(F.collect_list(F.struct("idx", "color")).alias("cells"))
 
 
 def streams(batch: pa.RecordBatch):
