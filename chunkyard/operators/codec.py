@@ -177,6 +177,33 @@ def decode_files(files: DataFrame, strict: bool = True) -> DataFrame:
     return files.select(F.col("chunk_id").cast("long").alias("chunk_id"), "content").mapInArrow(run, VOXELS)
 
 
+def dense_grids(files: DataFrame, strict: bool = True) -> DataFrame:
+    """chunk_id and grid of files given as (chunk_id, content): 4,096 colors at z + 16 * x + 256 * y."""
+    at = np.arange(CELLS)
+    order = RANK[(at >> 4 & 15) | (at >> 8) << 4 | (at & 15) << 8]  # of x, y, z as update index
+
+    def run(batches):
+        for b in batches:
+            rows = [load_file(c.as_py() or b"", strict)[order] for c in b.column(1)]
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * CELLS
+            flat = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["chunk_id", "grid"])
+
+    return files.select(F.col("chunk_id").cast("long").alias("chunk_id"), "content").mapInArrow(run, "chunk_id long, grid array<smallint>")
+
+
+def canonical_files(files: DataFrame) -> DataFrame:
+    """The files' `content` read leniently and written again at 6 bits a colour; other columns stay."""
+    at = files.columns.index("content")
+
+    def run(batches):
+        for b in batches:
+            made = pa.array([save_stream(load_file(c.as_py() or b"", strict=False)) for c in b.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return files.mapInArrow(run, files.schema)
+
+
 def header_columns(content) -> dict:
     """The header's fields of a file column, in the JVM; only the first bytes are looked at."""
 

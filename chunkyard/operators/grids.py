@@ -59,6 +59,20 @@ def densify(voxels: DataFrame) -> DataFrame:
     return cells.select("chunk_id", "idx", morton(x, y, z).cast("int").alias("rank"), F.coalesce(F.element_at("m", F.col("idx")), F.lit(0)).alias("color"))
 
 
+def colors_at(voxels: DataFrame, points: DataFrame) -> DataFrame:
+    """points (chunk_id, x, y, z and more) with the color there; 0 where it is empty or beyond the chunk."""
+    cells = voxels.select("chunk_id", "x", "y", "z", F.col("color").alias("found"))
+    return points.join(cells, ["chunk_id", "x", "y", "z"], "left").withColumn("color", F.coalesce("found", F.lit(0))).drop("found")
+
+
+def set_voxel(voxels: DataFrame, chunk_id: int, x: int, y: int, z: int, color: int) -> DataFrame:
+    """voxels after one edit; color 0 removes, places beyond the chunk are ignored."""
+    if not all(0 <= c < 16 for c in (x, y, z)):
+        return voxels
+    edit = voxels.sparkSession.createDataFrame([(chunk_id, x + 16 * y + 256 * z, color)], "chunk_id long, idx int, color int")
+    return apply_log(edit, F.lit(0), voxels)
+
+
 def exposed(voxels: DataFrame) -> DataFrame:
     """chunk_id, idx, x, y, z, color, dir: the faces of voxels whose neighbour cell is empty or beyond the chunk.
 

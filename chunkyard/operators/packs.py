@@ -178,6 +178,14 @@ def make_packs(files: DataFrame, layout: int = RAW, codec: int = ZLIB) -> DataFr
     return files.select(F.col("pack").cast("string").alias("pack"), F.col("ord").cast("long").alias("ord"), "name", "content").groupBy("pack").applyInArrow(run, "pack string, content binary")
 
 
+def canonical_packs(files: DataFrame) -> DataFrame:
+    """(pack, content) of files given as (pack, name, content), each written again at 6 bits a colour, in the
+    order of their names."""
+    from chunkyard.operators.codec import canonical_files
+
+    return make_packs(canonical_files(files.select("pack", F.lit(0).alias("ord"), "name", "content")))
+
+
 def read_packs(packs: DataFrame) -> DataFrame:
     """pack, ord, name, enc, payload, content (the entry as a file) of every entry of packs given as (pack, content)."""
 

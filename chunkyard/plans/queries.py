@@ -399,3 +399,38 @@ def hex_color_parse(spark, d):
     n = table(spark, d, "nation")
     red = hex_rgba(F.concat(F.lit("#"), F.lpad(F.hex(F.col("n_nationkey") % 256), 2, "0"), F.lit("00FF")))[0]
     return n.select("n_nationkey", red.alias("r"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l.l_orderkey % 64 AS chunk_id, l_partkey % 20 AS x, l_suppkey % 20 AS y, CAST(l_linenumber AS BIGINT) AS z, coalesce(li.color, 0) AS color FROM lineitem l LEFT JOIN li ON li.chunk_id = l.l_orderkey % 64 AND li.x = l_partkey % 20 AND li.y = l_suppkey % 20 AND li.z = l_linenumber")
+def voxel_lookup(spark, d):
+    at = [F.col("l_orderkey") % 64, F.col("l_partkey") % 20, F.col("l_suppkey") % 20, F.col("l_linenumber").cast("long")]
+    points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(n) for c, n in zip(at, ("chunk_id", "x", "y", "z"), strict=True)))
+    return grids.colors_at(li(spark, d), points)
+
+
+@query("SELECT chunk_id, z + 16 * x + 256 * y AS at, color FROM li")
+def decode_grid(spark, d):
+    grid = codec.dense_grids(codec.encode_chunks(li(spark, d)))
+    return grid.select("chunk_id", F.posexplode("grid").alias("at", "color")).where("color <> 0").select("chunk_id", "at", F.col("color").cast("int").alias("color"))
+
+
+@query(_LI_LONG)
+def canonical_pack_roundtrip(spark, d):
+    files = codec.encode_chunks(li(spark, d), bpp=8).select((F.col("chunk_id") % 4).cast("string").alias("pack"), F.concat(F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "content")
+    return _unpacked(packs.read_packs(packs.canonical_packs(files)))
+
+
+@query(f"{_SIZES} SELECT chunk_id || '.vopl' AS name, 6 AS bpp FROM s")
+def canonical_headers(spark, d):
+    files = codec.encode_chunks(li(spark, d), bpp=8).select(F.concat(F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "content")
+    return codec.headers(codec.canonical_files(files)).select("name", "bpp")
+
+
+@query("SELECT color, hex FROM p WHERE color > 0".replace("p WHERE", f"(VALUES {_PALETTE}) p(color, hex) WHERE"), views=False)
+def usable_colors(spark, d):
+    return palette(spark).where("color > 0").select("color", "hex").orderBy("color")
+
+
+@query("SELECT pack, min(name) AS name FROM (SELECT DISTINCT CAST(chunk_id % 4 AS VARCHAR) AS pack, chunk_id || '.vopl' AS name FROM li) GROUP BY pack")
+def first_entry(spark, d):
+    return packs.read_packs(packs.make_packs(_files(spark, d))).groupBy("pack").agg(F.min("name").alias("name"))

@@ -130,6 +130,13 @@ def test_diff_and_overlay(spark):
     assert collect(grids.diff(empty, b)) == {2: 6, 3: 9, 4: 1} and collect(grids.overlay(empty, empty)) == {}
 
 
+def test_single_edits(spark):
+    v = voxels(spark, {1: 5})
+    assert collect(grids.set_voxel(v, 0, 2, 0, 0, 7)) == {1: 5, 2: 7}
+    assert collect(grids.set_voxel(v, 0, 1, 0, 0, 0)) == {}
+    assert collect(grids.set_voxel(v, 0, 16, 0, 0, 7)) == {1: 5}
+
+
 def test_layers(spark):
     rows = [["1234"] + [None] * 20, ["0,64,2 3,x"], *[["9" * 20]] * 20]
     got = texts.decode_layers(spark.createDataFrame([("e", rows)], "id string, layers array<array<string>>"))
