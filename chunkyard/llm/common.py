@@ -48,7 +48,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/chunkyard-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
-        self._fs(self.root)[0].deleteOnExit(self._fs(self.root)[1])
+        fs, p = self._fs(self.root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
