@@ -6,13 +6,11 @@ documents. The last returns a row for each document that is left.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkyard.llm import toxicity
-from chunkyard.llm.common import checkpoint_dir, table
+from chunkyard.llm.common import Scratch, table
 from chunkyard.llm.decontaminate import drop_contaminated
 from chunkyard.llm.near_dedup import drop_near_duplicates
 from chunkyard.llm.piece_tokens import piece_codes
@@ -59,9 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for documents; between stages, Parquet in the shared checkpoint folder."""
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    tmp = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for _, stage in STAGES:
+        docs = tmp.save(stage(spark, docs, sf_dir))
     return docs
