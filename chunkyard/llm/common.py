@@ -47,7 +47,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/chunkyard-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.saved = 0
         fs, p = self._fs(self.root)
         fs.mkdirs(p)
         fs.deleteOnExit(p)
@@ -58,10 +58,10 @@ class Scratch:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        path = f"{self.root}/{self.saved}"
+        self.saved += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
