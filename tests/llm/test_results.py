@@ -119,6 +119,43 @@ def test_edited_copies_are_found(spark):
     assert sorted(x.doc_id for x in decontaminate.contaminated(d, b).collect()) == list(range(40))
 
 
+def edited(r, item, vocabulary, share, kinds="sid"):
+    """The item with a share of its words substituted, preceded by another word or deleted."""
+    copy = []
+    for k, w in enumerate(item):
+        kind = r.choice(kinds) if k in share else ""
+        copy += {"s": [r.choice(vocabulary)], "i": [r.choice(vocabulary), w], "d": []}.get(kind, [w])
+    return copy
+
+
+@pytest.mark.parametrize("full", [0, 1, 5])
+@pytest.mark.parametrize("least", [0.5, 0.7])
+def test_heavily_edited_copies_against_all_alignments(spark, full, least):
+    """One copy an item, 20 to 50 % of its words edited, beside full copies or none."""
+    r = random.Random(full)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [(i, [r.choice(vocabulary) for _ in range(r.randint(3, 45))]) for i in range(120)]
+    bodies = []
+    for i, item in items:
+        n = len(item)
+        share = set(range(1, n, 2 + i % 2)) if i % 4 == 0 else set(r.sample(range(n), round(n * r.choice([0.2, 0.25, 0.3, 0.4, 0.5]))))
+        bodies += [edited(r, item, vocabulary, share, ("s", "i", "sid")[i % 3])] + [item] * full
+    rows = [(k, [r.choice(vocabulary) for _ in range(50)] + x + [r.choice(vocabulary) for _ in range(50)]) for k, x in enumerate(bodies)]
+    number = decontaminate.Items(items)
+    held = [(k, decontaminate.Numbering(number.vocabulary).numbers(" ".join(x))) for k, x in rows]
+    want = {}
+    for i, item in zip(number.ids, number.items, strict=True):
+        for k, x in held:
+            s = decontaminate.align(item, x)[0] / (2 * len(item))
+            if s >= least:
+                want[k, i] = s
+    d = spark.createDataFrame([(k, " ".join(x)) for k, x in rows], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(d, b, score=least).collect()}
+    assert got == want and len(want) > 40
+    assert decontaminate.drop_contaminated(d, b, score=least).count() == len(rows) - len({k for k, _ in want})
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     b = spark.createDataFrame([(i, " ".join(f"v{i}x{k}" for k in range(9))) for i in range(7)], "item_id long, text string")
     assert [len(x.ids) for x in decontaminate.item_blocks(b, 20)] == [2, 2, 2, 1]
