@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chunkyard.llm.common import Scratch
+from chunkyard.llm.common import Scratch, small
 
-#: Light groups that one task differences and rows in one run of slots, on average; a group is heavy above this part of all bytes.
-CHUNK, RUN, HEAVY = 20_000, 50_000, 10_000
+#: Light groups that one task differences and rows in one run of slots, on average; a group is heavy above this part of all
+#: bytes, or above one in SHARE of a chunk's bytes for a shard if that is less.
+CHUNK, RUN, HEAVY, SHARE = 20_000, 50_000, 10_000, 10
 
 
 def difference(weights: list[int], shards: int, start: list[int] | None = None) -> tuple[list[int], list[int]]:
@@ -58,14 +59,28 @@ def difference(weights: list[int], shards: int, start: list[int] | None = None)
     return out, [shard[at[i][0]] for i in range(n)]
 
 
+def combine(sums: list[int], parts: dict[int, list[int]]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Adds each part's sums to `sums`, its largest on the smallest, the part with the largest spread first (ties: the
+    lesser number). Returns the sums and (part, its place, shard)."""
+    sums, out = list(sums), []
+    for c in sorted(parts, key=lambda c: (min(parts[c]) - max(parts[c]), c)):
+        part = parts[c]
+        places = sorted(range(len(sums)), key=lambda s: -part[s])
+        for place, s in zip(places, sorted(range(len(sums)), key=sums.__getitem__), strict=True):
+            out.append((c, place, s))
+            sums[s] += part[place]
+    return sums, out
+
+
 def byte_shards(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; law is `bytes`.
 
     A row's size is its text's UTF-8 bytes (null: none) plus `overhead`. Rows with equal texts are one
-    indivisible group (null counts as empty). Groups above one HEAVY-th of all bytes, fewer than HEAVY, are
-    differenced in one task. The others are dealt by hash into chunks, and each chunk is differenced on top of its
-    part of the heavy groups' sums, so that chunks need not wait for one another and light groups make up for heavy
-    ones. slot numbers a shard's rows from 0 without gaps, in the order of a hash run, then doc_id (nulls first); which
+    indivisible group (null counts as empty). Groups that are light against a chunk's bytes for a shard are dealt by
+    hash into chunks; the heavy ones, less than half as many, are dealt first in the same way, until one chunk holds
+    them all. Each chunk is differenced on top of its part of the heavier groups' sums, so that chunks need not wait
+    for one another and light groups make up for heavy ones. Then the chunks are combined, one's largest sums on the
+    smallest so far, so that what they leave uneven doesn't add up. slot numbers a shard's rows from 0 without gaps, in the order of a hash run, then doc_id (nulls first); which
     of equal rows comes first is free. An empty table gives no rows; other columns are ignored.
     """
     tmp = Scratch(docs.sparkSession)
@@ -75,24 +90,35 @@ def byte_shards(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", te
     )
     rows = tmp.save(rows)
     groups = tmp.save(rows.groupBy("g").agg(F.sum("size").alias("w")))
-    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
 
-    def deal(start: list[int] | None):
+    def deal(start: list[int]):
         def run(t: pd.DataFrame) -> pd.DataFrame:
             t = t.sort_values(["w", "g"], ascending=[False, True], kind="stable")
-            return pd.DataFrame({"g": t["g"], "shard": difference(t["w"].tolist(), shards, start)[1], "w": t["w"]})
+            return pd.DataFrame({"g": t["g"], "chunk": t["chunk"], "place": difference(t["w"].tolist(), shards, start)[1], "w": t["w"]})
 
         return run
 
-    placed = "g binary, shard int, w long"
-    n = max(1, -(-count // CHUNK))
-    is_heavy = F.lit(n > 1) & (F.col("w") * HEAVY > F.lit(total))  # a single chunk holds them all
-    heavy = tmp.save(groups.where(is_heavy).groupBy(F.lit("heavy").alias("one")).applyInPandas(deal(None), placed))
-    start = [0] * shards
-    for r in heavy.groupBy("shard").agg(F.sum("w").alias("w")).collect():  # a row a shard
-        start[r.shard] = r.w // n
-    light = groups.where(~is_heavy).groupBy(F.pmod(F.xxhash64("g"), F.lit(n)).alias("chunk")).applyInPandas(deal(start), placed)
-    where = heavy.union(light).select("g", "shard")
+    levels, rest = [], groups
+    while True:
+        count, total = rest.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+        n = max(1, -(-count // CHUNK))
+        if n == 1:  # a single chunk holds them all
+            levels.append((rest, 1))
+            break
+        limit = total // min(max(HEAVY, SHARE * shards * n), count // 2)
+        levels.append((rest.where(F.col("w") <= limit), n))
+        rest = rest.where(F.col("w") > limit)
+    sums, where = [0] * shards, None
+    for some, n in reversed(levels):
+        chunks = some.withColumn("chunk", F.pmod(F.xxhash64("g"), F.lit(n)).cast("int")).groupBy("chunk")
+        placed = tmp.save(chunks.applyInPandas(deal([s // n for s in sums]), "g binary, chunk int, place int, w long"))
+        parts: dict[int, list[int]] = {}
+        for r in placed.groupBy("chunk", "place").agg(F.sum("w").alias("w")).collect():  # a row a chunk and shard
+            parts.setdefault(r.chunk, [0] * shards)[r.place] = r.w
+        sums, to = combine(sums, parts)
+        final = docs.sparkSession.createDataFrame(to, "chunk int, place int, shard int")
+        part = placed.join(small(final, 12 * len(to)), ["chunk", "place"]).select("g", "shard")
+        where = part if where is None else where.union(part)
     dealt = tmp.save(rows.join(where, "g").select("doc_id", "size", "text_crc32", "shard"))
     runs = max(1, -(-dealt.count() // (RUN * shards))) * 4
     dealt = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))

@@ -247,6 +247,25 @@ def test_light_groups_make_up_for_a_heavy_one(spark):
     assert sums[-1] == 3000 * 116 and sums[-2] - sums[0] < 0.02 * sums[0]
 
 
+def test_groups_above_a_chunks_share_are_spread(spark, monkeypatch):
+    """Groups below the heavy part of all bytes, but larger than what a chunk has for a shard."""
+    monkeypatch.setattr(sharding, "CHUNK", 100)
+    monkeypatch.setattr(sharding, "HEAVY", 20)
+    r = random.Random(1)
+    rows = [(i, f"{i} " + "x" * r.randrange(100)) for i in range(4000)] + [(10_000 + i, f"{i} " + "y" * (4000 + 37 * i)) for i in range(18)]
+    got = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4).groupBy("shard").sum("size").collect()
+    sums = sorted(x[1] for x in got)
+    assert len(sums) == 4 and sum(sums) == sum(len(t) + 16 for _, t in rows) and sums[-1] - sums[0] < 0.002 * sums[0]
+
+
+def test_what_chunks_leave_uneven_does_not_add_up(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 50)
+    monkeypatch.setattr(sharding, "HEAVY", 100)
+    rows = [(i, f"{i:06d}") for i in range(2000)]
+    got = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string"), 20).groupBy("shard").count().collect()
+    assert len(got) == 20 and max(x[1] for x in got) - min(x[1] for x in got) <= 2
+
+
 # op5, op6
 
 
