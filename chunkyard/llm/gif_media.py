@@ -270,7 +270,7 @@ def colour_histogram(canvas: np.ndarray) -> np.ndarray:
 def pack_payload(payload: bytes) -> bytes:
     """A payload of a positive multiple of WIDTH bytes as grey frames of at most HEIGHT rows."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return write_gif([rows[i : i + HEIGHT] for i in range(0, len(rows), HEIGHT)])
+    return write_gif([rows[i : i + HEIGHT] for i in range(0, len(rows), HEIGHT)], compress=True)
 
 
 def payload_media(docs: DataFrame, *, keep_media: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -208,6 +208,17 @@ def test_payloads(spark, sf, texts):
         assert r.media_sha256 == hashlib.sha256(gif_media.pack_payload(payload)).hexdigest()
 
 
+def test_payloads_are_read_through_the_code_table(monkeypatch):
+    read = []
+    literals = gif_media._literals
+    monkeypatch.setattr(gif_media, "_literals", lambda data: read.append(literals(data)) or read[-1])
+    payload = ("some words of a text, " * 640).encode()
+    payload += bytes(-len(payload) % 64)
+    media = gif_media.pack_payload(payload)
+    assert b"".join(f.samples.tobytes() for f in gif_media.read_gif(media)) == payload
+    assert read and all(x is None for x in read) and len(media) < len(payload)
+
+
 # op4
 
 
