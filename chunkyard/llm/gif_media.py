@@ -16,131 +16,142 @@ from chunkyard.llm.common import arrow_map
 
 #: Samples of a row, rows of a frame, hundredths of a second of a frame, in stored payloads.
 WIDTH, HEIGHT, DELAY = 64, 1024, 4
+#: Most pixels of a screen or frame that the reader draws; what claims more isn't read.
+PIXELS = 1 << 26
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
-#: Literals after a clear code: with it 31 bytes of eight 9-bit codes each, and too few to widen the codes.
-RUN = 247
-
-
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """A valid code stream of 8-bit samples without table entries: 9-bit literals and clear codes."""
-    n = len(samples)
-    whole = n // RUN
-    codes = np.empty((whole, RUN + 1), np.uint16)
-    codes[:, 0] = 256
-    codes[:, 1:] = samples[: whole * RUN].reshape(whole, RUN)
-    tail = np.concatenate([[256], samples[whole * RUN :].astype(np.uint16), [257]]).astype(np.uint16)
-    bits = 9 * len(tail)
-    tail = np.concatenate([tail, np.zeros(-len(tail) % 8, np.uint16)])
-    c = np.concatenate([codes.reshape(-1, 8), tail.reshape(-1, 8)])
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0]
-    for i in range(1, 8):
-        out[:, i] = (c[:, i - 1] >> (9 - i)) | (c[:, i] << i)
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: whole * (RUN + 1) // 8 * 9 + (bits + 7) // 8]
+_BYTE = np.arange(256)
+#: Payload bytes as colours: three bits of red, three of green, two of blue.
+COLOURS = np.stack([_BYTE >> 5 << 5, (_BYTE >> 2 & 7) << 5, (_BYTE & 3) << 6], 1).astype(np.uint8)
+#: Payload frames are drawn on a cleared screen, and the filling's zeros don't show.
+DISPOSAL, TRANSPARENT = 2, 0
+#: A code table has at most 2 ** WIDEST entries.
+WIDEST = 12
+
+
+def _runs(size: int, first: int, count: int) -> list[tuple[int, int]]:
+    """(codes, width) of `count` codes that begin `first` codes after a clear code. A code gives the table an entry,
+    but for the first after a clear; codes widen when the table has outgrown them."""
+    out = []
+    for width in range(size + 1, WIDEST + 1):
+        last = first + count if width == WIDEST else min(first + count, (1 << width) - (1 << size) - 1)
+        if last > first:
+            out.append((last - first, width))
+            count -= last - first
+            first = last
+    return out
+
+
+def _to_bits(codes: list[int], size: int) -> list[np.ndarray]:
+    """The bits, one a byte and lowest first, of the codes after a clear code."""
+    raw = np.array(codes, "<u2").view(np.uint8).reshape(-1, 2)
+    out, at = [], 0
+    for n, width in _runs(size, 0, len(codes)):
+        out.append(np.unpackbits(raw[at : at + n], axis=1, count=width, bitorder="little").reshape(-1))
+        at += n
+    return out
 
 
 def lzw_encode(samples: bytes, size: int = 8) -> bytes:
-    """The usual compressing code stream of samples below 2 ** size."""
-    clear, end = 1 << size, (1 << size) + 1
-    acc = n = 0
-    out = bytearray()
-    table: dict[tuple[int, int], int] = {}
-    width, free = size + 1, clear + 2
-
-    def put(code: int) -> None:
-        nonlocal acc, n
-        acc |= code << n
-        n += width
-        while n >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            n -= 8
-
-    put(clear)
+    """The compressing code stream of samples below 2 ** size; a full table is begun anew."""
+    clear = 1 << size
+    parts = [np.unpackbits(np.array([clear], "<u2").view(np.uint8), count=size + 1, bitorder="little")]
+    codes: list[int] = []
+    table: dict[int, int] = {}  # (code so far, sample) -> code; codes are kept 8 bits up
+    free, known, put = clear + 2, table.get, codes.append
     head = -1
     for s in samples:
         if head < 0:
-            head = s
-        elif (code := table.get((head, s))) is not None:
-            head = code
+            head = s << 8
+        elif (longer := known(head | s)) is not None:
+            head = longer
         else:
-            put(head)
-            if free < 4096:
-                table[head, s] = free
+            put(head >> 8)
+            if free < 1 << WIDEST:
+                table[head | s] = free << 8
                 free += 1
-                if free > 1 << width and width < 12:
-                    width += 1
             else:
                 put(clear)
-                table, width, free = {}, size + 1, clear + 2
-            head = s
+                parts += _to_bits(codes, size)
+                codes.clear()
+                table.clear()
+                free = clear + 2
+            head = s << 8
     if head >= 0:
-        put(head)
-        free += 1
-        if free > 1 << width and width < 12:
-            width += 1
-    put(end)
-    if n:
-        out.append(acc & 255)
-    return bytes(out)
-
-
-def _literals(data: bytes) -> np.ndarray | None:
-    """The samples, if the stream holds 9-bit literals and clear codes only; otherwise None."""
-    raw = np.frombuffer(data + bytes(-len(data) % 9), np.uint8).reshape(-1, 9).astype(np.uint16)
-    c = np.empty((len(raw), 8), np.uint16)
-    for i in range(8):
-        c[:, i] = ((raw[:, i] >> i) | (raw[:, i + 1] << (8 - i))) & 0x1FF
-    c = c.reshape(-1)
-    stop = np.flatnonzero(c == 257)
-    if not len(stop):
-        return None
-    c = c[: stop[0]]
-    clears = np.flatnonzero(c == 256)
-    gaps = np.diff(np.concatenate([[-1] if not len(clears) or clears[0] else [], clears, [len(c)]]))
-    if len(c) and (c.max() > 256 or gaps.max() > 255):  # 254 literals at most between two clear codes
-        return None
-    return c[c != 256].astype(np.uint8)
+        put(head >> 8)
+    put(clear + 1)
+    parts += _to_bits(codes, size)
+    return np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+
+
+def _codes(data: bytes, at: int, size: int, first: int, count: int) -> list[int]:
+    """At most `count` codes from bit `at` on, the first of them `first` codes after a clear code."""
+    out: list[int] = []
+    for n, width in _runs(size, first, count):
+        n = min(n, (8 * len(data) - at) // width)
+        if n <= 0:
+            break
+        raw = np.frombuffer(data, np.uint8, (at + n * width + 7 >> 3) - (at >> 3), at >> 3)
+        bits = np.zeros((n, 16), np.uint8)
+        bits[:, :width] = np.unpackbits(raw, bitorder="little")[at & 7 :][: n * width].reshape(n, width)
+        out += np.packbits(bits, axis=1, bitorder="little").view("<u2")[:, 0].tolist()
+        at += n * width
+    return out
 
 
 def lzw_decode(data: bytes, size: int, most: int) -> np.ndarray:
-    """At most `most` samples of a code stream; a code that cannot be is a ValueError."""
-    if size == 8 and (fast := _literals(data)) is not None:
-        return fast[:most]
-    clear, end = 1 << size, (1 << size) + 1
+    """At most `most` samples of a code stream, by its code table; a code that cannot be is a ValueError.
+
+    The codes between two clear codes have widths that their number alone tells, so they are cut out
+    of the bits together; then each is looked up, and the table grows by the one before it and its first sample.
+    """
+    if not 1 <= size <= 8:
+        raise ValueError("a code size that cannot be")
+    clear = 1 << size
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, last = base[:], size + 1, None
-    out, made = [], 0
-    acc = n = at = 0
+    table, last = base[:], b""
+    out: list[bytes] = []
+    made = at = since = 0
+    ahead, full = 512, 1 << WIDEST
     while made < most:
-        while n < width:
-            if at >= len(data):
-                return np.frombuffer(b"".join(out), np.uint8)
-            acc |= data[at] << n
-            at += 1
-            n += 8
-        code = acc & ((1 << width) - 1)
-        acc >>= width
-        n -= width
-        if code == clear:
-            table, width, last = base[:], size + 1, None
-            continue
-        if code == end:
-            break
-        if code < len(table) and code not in (clear, end):
-            entry = table[code]
-        elif code == len(table) and last is not None:
-            entry = last + last[:1]
-        else:
+        codes = _codes(data, at, size, since, ahead)
+        stop = min((codes.index(c) for c in (clear, clear + 1) if c in codes), default=len(codes))
+        used = codes[:stop]
+        before, wrong = len(out), False
+        if used and not last:
+            if wrong := used[0] > clear:
+                used = []
+            else:
+                last = table[used[0]]
+                out.append(last)
+        grow, put, n = table.append, out.append, len(table)
+        for code in used[1:] if since == 0 else used:
+            if code < n:
+                entry = table[code]
+            elif code == n < full:
+                entry = last + last[:1]
+            else:
+                wrong = True
+                break
+            put(entry)
+            if n < full:
+                grow(last + entry[:1])
+                n += 1
+            last = entry
+        made += sum(map(len, out[before:]))
+        if wrong and made < most:
             raise ValueError("a code before its entry")
-        out.append(entry)
-        made += len(entry)
-        if last is not None and len(table) < 4096:
-            table.append(last + entry[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        last = entry
+        if stop == len(codes):  # neither a clear nor an end code
+            if len(codes) < ahead:
+                break
+            at += sum(n * width for n, width in _runs(size, since, stop))
+            since += stop
+            ahead = min(2 * ahead, full)
+        elif codes[stop] == clear:
+            at += sum(n * width for n, width in _runs(size, since, stop + 1))
+            ahead = max(256, since + stop + 1)
+            table, last, since = base[:], b"", 0
+        else:
+            break
     return np.frombuffer(b"".join(out), np.uint8)[:most]
 
 
@@ -185,15 +196,17 @@ def _sub_blocks(data: bytes) -> bytes:
     return out.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def read_gif(data: bytes, canvases: bool = True):
+def read_gif(data: bytes, canvases: bool = True, pixels: int = PIXELS):
     """Yield the frames in order, drawn on the screen by their palettes, transparency and disposal.
 
-    Not a GIF, or codes that cannot be: ValueError. What is cut off in mid-frame ends the frames; missing
-    samples are 0.
+    Not a GIF, codes that cannot be, or a screen or frame of more than `pixels`: ValueError. What is cut off in
+    mid-frame ends the frames; missing samples are 0.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > pixels:
+        raise ValueError(f"a screen of {width} x {height}")
     at, shared = 13, GREY
     if flags & 0x80:
         n = 2 << (flags & 7)
@@ -212,6 +225,8 @@ def read_gif(data: bytes, canvases: bool = True):
         if data[at] != 0x2C or at + 11 > len(data):
             return
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > pixels:
+            raise ValueError(f"a frame of {w} x {h}")
         at += 10
         palette = shared
         if flags & 0x80:
@@ -236,8 +251,8 @@ def read_gif(data: bytes, canvases: bool = True):
             table[: len(palette), :3] = palette
             table[:, 3] = 255
             drawn = table[part]
-            if transparent >= 0:
-                drawn = np.where((part == transparent)[..., None], view, drawn)
+            if transparent >= 0 and (through := part == transparent).any():
+                drawn[through] = view[through]
             view[...] = drawn
             canvas = screen.copy()
             if disposal == 2:
@@ -248,15 +263,13 @@ def read_gif(data: bytes, canvases: bool = True):
         delay, disposal, transparent = 0, 0, -1
 
 
-def write_gif(frames: list[np.ndarray], palette: np.ndarray = GREY, delay: int = DELAY, compress: bool = False) -> bytes:
-    """A GIF of 8-bit frames (height x width) at the screen's corner, one palette, disposal 1."""
+def write_gif(frames: list[np.ndarray], palette: np.ndarray = GREY, delay: int = DELAY, disposal: int = 1, transparent: int = -1) -> bytes:
+    """A GIF of 8-bit frames (height x width) at the screen's corner, with one palette of 256 colours."""
     height, width = max(len(f) for f in frames), max(f.shape[1] for f in frames)
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), np.ascontiguousarray(palette, np.uint8).tobytes()]
+    control = b"\x21\xf9\x04" + struct.pack("<BHBB", disposal << 2 | (transparent >= 0), delay, max(0, transparent), 0)
     for f in frames:
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay, 0, 0))
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, f.shape[1], len(f), 0) + b"\x08")
-        flat = f.reshape(-1)
-        out.append(_sub_blocks(lzw_encode(flat.tobytes()) if compress else lzw_literals(flat)))
+        out += [control, b"\x2c" + struct.pack("<HHHHB", 0, 0, f.shape[1], len(f), 0) + b"\x08", _sub_blocks(lzw_encode(f.tobytes()))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -268,19 +281,20 @@ def colour_histogram(canvas: np.ndarray) -> np.ndarray:
 
 
 def pack_payload(payload: bytes) -> bytes:
-    """A payload of a positive multiple of WIDTH bytes as grey frames of at most HEIGHT rows."""
+    """A payload of a positive multiple of WIDTH bytes as frames of at most HEIGHT rows."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return write_gif([rows[i : i + HEIGHT] for i in range(0, len(rows), HEIGHT)], compress=True)
+    return write_gif([rows[i : i + HEIGHT] for i in range(0, len(rows), HEIGHT)], COLOURS, disposal=DISPOSAL, transparent=TRANSPARENT)
 
 
 def payload_media(docs: DataFrame, *, keep_media: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's whole text as a GIF: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature, and media (binary) if keep_media.
 
-    The UTF-8 bytes (null: none) are filled with zeros to a positive multiple of 64 and are the samples of
-    a grey palette. All but n_bytes and media_* is computed from the frames read back from the stored bytes.
-    feature: frame count, screen, length in hundredths of a second, and the red half-range counts of the
-    drawn screens. Rows are independent: null or repeated ids and other columns don't matter.
+    The UTF-8 bytes (null: none) are filled with zeros to a positive multiple of 64 and are the samples; LZW codes
+    them. All but n_bytes and media_* is computed from the frames read back from the stored bytes through the code table.
+    feature: frame count, screen, length in hundredths of a second, and the colour histogram of the
+    drawn screens (zeros are transparent and don't count). An empty table gives no rows. Rows are independent: null
+    or repeated ids and other columns don't matter.
     """
 
     def run(batches):
@@ -300,7 +314,7 @@ def payload_media(docs: DataFrame, *, keep_media: bool = True, id_col: str = "do
                     n += 1
                     screen = f.canvas.shape
                 crc = zlib.crc32(tail)
-                feature = f"frames={n};screen={screen[1]}x{screen[0]};time={time};grey={','.join(str(hist[21 * k]) for k in range(4))}"
+                feature = f"frames={n};screen={screen[1]}x{screen[0]};time={time};colours={','.join(map(str, hist.tolist()))}"
                 rows.append((len(text), size, digest.hexdigest(), crc, len(media), hashlib.sha256(media).hexdigest(), feature, *([media] if keep_media else [])))
             kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()} | ({"media": pa.binary()} if keep_media else {})
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values()))], names=["doc_id", *kinds])
@@ -313,23 +327,28 @@ def gif_frames(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "me
     """The timed frames of GIFs: id, frame (from 0), start and delay (hundredths of a second), left, top, width,
     height, disposal, transparent (-1: none), histogram (64 counts of the drawn screen), rgba (the drawn screen).
 
-    A null, or what isn't a GIF, gives one row with a null frame and the reason in `error`.
+    Each frame leaves the task by itself, so that memory holds one. A null, what isn't a GIF or has no frames, and a
+    fault after some frames (these stay) give a row with a null frame and the reason in `error`; so does a screen or
+    frame of more than PIXELS. An empty table gives no rows; repeated rows each give theirs; null ids are carried.
     """
+    names = ["id", "frame", "start", "delay", "left", "top", "width", "height", "disposal", "transparent", "histogram", "rgba", "error"]
+    kinds = [pa.int64(), *[pa.int32()] * 9, pa.list_(pa.int64()), pa.binary(), pa.string()]
+
+    def row(*values):
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     def run(batches):
         for b in batches:
-            for i, m in zip(b.column(0), b.column(1), strict=True):
-                rows, start, error = [], 0, None
+            for i, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                n, start, error = 0, 0, None
                 try:
-                    for n, f in enumerate(read_gif(m.as_py() or b"")):
-                        rows.append((n, start, f.delay, f.left, f.top, f.width, f.height, f.disposal, f.transparent, colour_histogram(f.canvas).tolist(), f.canvas.tobytes(), None))
+                    for f in read_gif(m.as_py() or b""):
+                        yield row(i, n, start, f.delay, f.left, f.top, f.width, f.height, f.disposal, f.transparent, colour_histogram(f.canvas).tolist(), f.canvas.tobytes(), None)
+                        n += 1
                         start += f.delay
                 except (ValueError, IndexError, struct.error) as e:
                     error = str(e) or "cut off"
-                if error or not rows:
-                    rows.append((*[None] * 11, error or "no frames"))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int32()] * 9 + [pa.list_(pa.int64()), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(rows), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "frame", "start", "delay", "left", "top", "width", "height", "disposal", "transparent", "histogram", "rgba", "error"])
+                if error or not n:
+                    yield row(i, *[None] * 11, error or "no frames")
 
     return arrow_map(media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("m")), run, "id long, frame int, start int, delay int, left int, top int, width int, height int, disposal int, transparent int, histogram array<long>, rgba binary, error string")

@@ -14,6 +14,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chunkyard.llm import decontaminate, gif_media, near_dedup, piece_tokens, queries, sharding
@@ -164,14 +165,59 @@ def test_benchmark_in_blocks(spark, monkeypatch):
 # op3
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.binary(max_size=3000), st.sampled_from([2, 8]))
-def test_lzw(data, size):
-    data = bytes(x % (1 << size) for x in data)
-    assert gif_media.lzw_decode(gif_media.lzw_encode(data, size), size, 10**9).tobytes() == data
-    if size == 8:
-        flat = np.frombuffer(data, np.uint8)
-        assert gif_media.lzw_decode(gif_media.lzw_literals(flat), 8, 10**9).tobytes() == data
+def plain_lzw(data, size):
+    """A code stream read bit by bit."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    clear, at, out = 1 << size, 0, []
+    table, width, last = {}, size + 1, None
+    while at + width <= len(bits):
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear:
+            table, width, last = {i: [i] for i in range(clear)} | {clear: None, clear + 1: None}, size + 1, None
+            continue
+        if code == clear + 1:
+            break
+        entry = table[code] if code in table else [*last, last[0]]
+        out += entry
+        if last is not None and len(table) < 4096:
+            table[len(table)] = [*last, entry[0]]
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        last = entry
+    return bytes(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=3000), st.sampled_from([2, 5, 8]), st.integers(1, 40))
+def test_lzw(data, size, times):
+    data = bytes(x % (1 << size) for x in data) * times
+    stream = gif_media.lzw_encode(data, size)
+    assert gif_media.lzw_decode(stream, size, 10**9).tobytes() == data
+    assert gif_media.lzw_decode(stream, size, 100).tobytes() == data[:100]
+    if len(data) < 20_000:
+        assert plain_lzw(stream, size) == data
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=700), max_size=6), st.booleans())
+def test_lzw_with_clear_codes_anywhere(parts, ended):
+    """Streams of other writers: literals between clear codes, and tables that stay full without one."""
+    def bits(codes):
+        out, since = "", 0
+        for c in codes:
+            width = next(w for w in (9, 10, 11, 12) if w == 12 or max(0, since - 1) + 258 < 1 << w)
+            out += f"{c:0{width}b}"[::-1]
+            since = 0 if c == 256 else since + 1
+        out += "0" * (-len(out) % 8)
+        return bytes(int(out[i : i + 8][::-1], 2) for i in range(0, len(out), 8))
+
+    codes = [c for p in parts for c in (256, *p)] + [257] * ended
+    assert gif_media.lzw_decode(bits(codes), 8, 10**9).tobytes()[: sum(map(len, parts))] == b"".join(parts)
+    long = bytes(i * i % 251 for i in range(9000))
+    assert gif_media.lzw_decode(bits([256, *long, 257]), 8, 10**9).tobytes() == long == plain_lzw(bits([256, *long, 257]), 8)
+    with pytest.raises(ValueError):
+        gif_media.lzw_decode(bits([256, 65, 300]), 8, 10)
 
 
 def test_gif_rules():
@@ -183,7 +229,10 @@ def test_gif_rules():
         return control + b"\x2c" + bytes([left, 0, top, 0, w, 0, h, 0, 0x40 * interlaced, 2]) + gif_media._sub_blocks(gif_media.lzw_encode(bytes(samples), 2))
 
     data = head + frame(0, 0, 4, 4, [1] * 16, 1) + frame(1, 1, 2, 2, [2, 0, 0, 2], 2, transparent=0) + frame(0, 0, 1, 1, [3], 3) + frame(0, 0, 1, 4, [0, 1, 2, 3], 0, interlaced=True) + b"\x3b"
-    a, b, c, d = gif_media.read_gif(data)
+    local = b"\x2c" + bytes([1, 0, 1, 0, 1, 0, 1, 0, 0x80, 9, 9, 9, 7, 8, 9])  # its own two colours
+    data = data[:-1] + local + b"\x02" + gif_media._sub_blocks(gif_media.lzw_encode(b"\x01", 2)) + b"\x3b"
+    a, b, c, d, e = gif_media.read_gif(data)
+    assert e.canvas[1, 1].tolist() == [7, 8, 9, 255] and e.canvas[3, 3].tolist() == d.canvas[3, 3].tolist() and e.delay == 0
     red, green, blue = ([255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255])
     assert (a.canvas == red).all() and a.delay == 3
     assert b.canvas[1, 1].tolist() == green and b.canvas[1, 2].tolist() == red and b.canvas[0, 0].tolist() == red
@@ -193,11 +242,15 @@ def test_gif_rules():
 
 
 def test_frames(spark):
-    gif = gif_media.write_gif([np.full((5, 7), k, np.uint8) for k in (0, 255)], compress=True)
-    df = spark.createDataFrame([(1, bytearray(gif)), (2, None), (3, bytearray(b"no"))], "doc_id long, media binary")
-    rows = gif_media.gif_frames(df).orderBy("id", "frame").collect()
-    assert [(r.id, r.frame, r.start) for r in rows] == [(1, 0, 0), (1, 1, 4), (2, None, None), (3, None, None)]
-    assert rows[1].histogram[63] == 35 and rows[2].error
+    gif = gif_media.write_gif([np.full((5, 7), k, np.uint8) for k in (0, 255)])
+    hostile = b"GIF89a" + b"\xff" * 4 + bytes(3) + b"\x2c" + bytes(4) + b"\xff" * 4 + b"\x00\x08\x00"
+    frame = b"GIF89a" + bytes([4, 0, 4, 0, 0, 0, 0]) + b"\x2c" + bytes(4) + b"\xff" * 4 + b"\x00\x08\x00"
+    broken = gif[:-1] + b"\x2c" + bytes([0, 0, 0, 0, 2, 0, 2, 0, 0, 8]) + gif_media._sub_blocks(b"\xff\xff\xff") + b"\x3b"
+    df = spark.createDataFrame([(1, bytearray(gif)), (2, None), (3, bytearray(b"no")), (4, bytearray(hostile)), (5, bytearray(frame)), (6, bytearray(broken)), (None, bytearray(gif[:30]))], "doc_id long, media binary")
+    rows = gif_media.gif_frames(df).orderBy("id", F.col("frame").asc_nulls_last()).collect()
+    assert [(r.id, r.frame, r.start) for r in rows] == [(None, None, None), (1, 0, 0), (1, 1, 4), (2, None, None), (3, None, None), (4, None, None), (5, None, None), (6, 0, 0), (6, 1, 4), (6, None, None)]
+    assert rows[2].histogram[63] == 35 and all(bool(r.error) == (r.frame is None) for r in rows)
+    assert gif_media.gif_frames(df.where("false")).count() == 0
 
 
 def test_payloads(spark, sf, texts):
@@ -208,15 +261,17 @@ def test_payloads(spark, sf, texts):
         assert r.media_sha256 == hashlib.sha256(gif_media.pack_payload(payload)).hexdigest()
 
 
-def test_payloads_are_read_through_the_code_table(monkeypatch):
-    read = []
-    literals = gif_media._literals
-    monkeypatch.setattr(gif_media, "_literals", lambda data: read.append(literals(data)) or read[-1])
-    payload = ("some words of a text, " * 640).encode()
+def test_payloads_are_read_through_the_code_table():
+    payload = ("some words of a text, " * 6400).encode()
     payload += bytes(-len(payload) % 64)
     media = gif_media.pack_payload(payload)
-    assert b"".join(f.samples.tobytes() for f in gif_media.read_gif(media)) == payload
-    assert read and all(x is None for x in read) and len(media) < len(payload)
+    frames = list(gif_media.read_gif(media))
+    assert b"".join(f.samples.tobytes() for f in frames) == payload and len(frames) == 3
+    assert len(media) < len(payload) / 3  # no stream of literals
+    assert all((f.disposal, f.transparent) == (gif_media.DISPOSAL, 0) for f in frames)
+    shown = sum(gif_media.colour_histogram(f.canvas) for f in frames)
+    cell = lambda v: int((gif_media.COLOURS[v] >> 6).astype(int) @ [16, 4, 1])
+    assert shown.sum() == len(payload.rstrip(b"\0")) and shown[cell(32)] == sum(cell(v) == cell(32) for v in payload if v)
 
 
 # op4
