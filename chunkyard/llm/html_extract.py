@@ -1,40 +1,58 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into text blocks. A classifier's costs are each block's terminal capacities (to the
-content side and to the boilerplate side); blocks next to one another and blocks of one parent are tied by
-smoothness edges. The minimum cut, found by maximum flow, labels the blocks.
+A page is read into text blocks. A logistic classifier over features of a block (what its elements and their names
+say, share of links, length, sentence ends, depth) gives the odds that it is content; the costs of either label are its
+terminal capacities. Blocks next to one another and blocks of one parent are tied by smoothness edges of the same
+order. The minimum cut, found by maximum flow, labels the blocks. The classifier is fitted on generated layouts,
+see training_pages().
 """
 
 from __future__ import annotations
 
 import html
+import math
+import random
 import re
 from collections import deque
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkyard.llm.common import arrow_map
+from chunkyard.llm.quality import logistic
 
 #: Elements by what they mean for a text.
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style noscript iframe object svg math template textarea title xmp noembed noframes canvas audio video".split())
+RAW = frozenset("script style noscript iframe svg template textarea title xmp noembed noframes canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A new one of these ends an open one of the same list.
 SIBLINGS = ({"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}, {"option"}, {"thead", "tbody", "tfoot"})
 NOT_CONTENT = frozenset("nav footer aside form button select fieldset menu head dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Words of class and id names, whole or as beginnings.
-BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comments cookie cookies consent disclaimer footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promos recommendations recommended related replies share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets alert".split())
-BAD_STARTS = ("advert", "comment", "disqus", "sidebar", "cookie", "sponsor", "newsletter", "navbar", "breadcrumb", "promo", "respond")
-REMARKS = frozenset("comment comments reply replies remark remarks".split())
+#: Words of class and id names in groups; each group is a feature whose weight is learned.
+GROUPS = {
+    "advert": "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion",
+    "notice": "cookie cookies consent gdpr notice notices alert alerts banner modal popup paywall newsletter subscribe subscription signup disclaimer",
+    "menu": "menu menus nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar topbar skip tabs",
+    "frame": "footer header masthead login search copyright",
+    "side": "sidebar sidebars aside widget widgets",
+    "related": "related recommended recommendations more trending popular share sharing social follow tags",
+    "remark": "comment comments reply replies remark remarks disqus respond",
+    "good": "article articlebody content entry maincontent post story text body main",
+}
+#: Words that add nothing to a name: `ad-box` says no less than `ad`.
+FILLER = frozenset("area bar block box container col column inner item outer panel section slot unit wrap wrapper the site page global top bottom left right".split())
+REMARKS = frozenset(GROUPS["remark"].split())
 REMARK_STARTS = ("comment", "disqus", "reply", "replies", "remark")
-GOOD_WORDS = frozenset("article articlebody content entry maincontent post story text body main".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+_GROUP = {w: k for k, (_, words) in enumerate(GROUPS.items()) for w in words.split()}
+_GOOD = list(GROUPS).index("good")
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
@@ -47,10 +65,10 @@ _ENDS = re.compile(r"[.!?…。]")
 class Element:
     name: str
     parent: Element | None
+    hidden: bool = False
     bad: bool = False  # the element itself says: boilerplate
-    weak: bool = False  # its class or id says so
-    good: bool = False
     main: bool = False  # article or main
+    names: tuple[float, ...] = ()  # by group: 1 if a class or id is just such a name, 0.5 if a part of it
     holds_main: bool = False
 
 
@@ -67,20 +85,34 @@ def _attributes(source: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(source)} if source.strip("/ \t\r\n\f") else {}
 
 
+@lru_cache(10_000)
+def _names(value: str) -> tuple[float, ...]:
+    """What class and id names say, by group."""
+    out = [0.0] * len(GROUPS)
+    for name in value.split():
+        parts = [w for w in _SPLIT.split(_CAMEL.sub(" ", name).lower()) if w]
+        told = [w for w in parts if w not in FILLER]
+        for w in told:
+            if (k := _GROUP.get(w)) is not None:
+                whole = k == _GOOD or all(x in _GROUP for x in told)
+                out[k] = max(out[k], 1.0 if whole else 0.5)
+    return tuple(out)
+
+
 def _element(name: str, source: str, parent: Element | None) -> Element:
     e = Element(name, parent)
     a = _attributes(source)
-    names = set(_SPLIT.split(_CAMEL.sub(" ", f"{a.get('class', '')} {a.get('id', '')}").lower()))
     role = a.get("role", "").lower()
-    e.bad = name in NOT_CONTENT or role in BAD_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+    e.hidden = (parent is not None and parent.hidden) or name == "head" or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+    e.bad = name in NOT_CONTENT or role in BAD_ROLES
     e.main = name in ("article", "main") or role == "main" or a.get("itemprop") == "articleBody"
     if name not in ("html", "body"):
-        # Comments count wherever they are, even in articles of their own.
-        remark = not names.isdisjoint(REMARKS) if e.main else any(n.startswith(REMARK_STARTS) for n in names)
-        if remark and names.isdisjoint(("post", "entry")):
+        named = f"{a.get('class', '')} {a.get('id', '')}"
+        words = {w for w in _SPLIT.split(_CAMEL.sub(" ", named).lower()) if w}
+        # Readers' comments are comments wherever they are, even in articles of their own.
+        if words.isdisjoint(("post", "entry")) and (not words.isdisjoint(REMARKS) if e.main else any(n.startswith(REMARK_STARTS) for n in words)):
             e.bad, e.main = True, False
-        e.weak = bool(names & BAD_WORDS) or any(n.startswith(BAD_STARTS) for n in names)
-        e.good = bool(names & GOOD_WORDS)
+        e.names = _names(named)
     return e
 
 
@@ -157,37 +189,35 @@ def blocks_of(source: str) -> list[Block]:
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
         b.length = sum(map(len, b.parts))
-    return [b for b in out if b.text]
+    return [b for b in out if b.text and not b.parent.hidden]
+
 
+#: Names of the features, in order.
+FEATURES = ("one", "inside", "outside", "boilerplate elements", "header", *GROUPS, "links", "length", "sentences", "heading", "sign", "few words", "depth", "item")
 
-def capacities(block: Block, has_main: bool) -> tuple[int, int]:
-    """The costs of calling a block boilerplate and content."""
-    content = boilerplate = 0
-    e, inside, heading = block.parent, False, False
+
+def features(block: Block, has_main: bool) -> list[float]:
+    """A block's features; names of elements that hold the whole article don't count."""
+    e, inside, bad, header, heading, item, depth = block.parent, False, 0, False, False, False, 0
+    names = [0.0] * len(GROUPS)
     while e is not None:
         heading |= e.name in HEADINGS
-        if e.bad:
-            boilerplate += 400
-        elif e.name == "header":
-            # A header with the article's own heading belongs to it.
-            own = heading and _within_main(e)
-            boilerplate += 0 if own else 400
-        elif e.weak and not e.main and not (e.holds_main and e.name not in ("section", "ul", "ol")):
-            boilerplate += 400
-        if e.main:
-            inside = True
-        elif e.good:
-            content += 10
+        item |= e.name == "li"
+        depth += 1
+        bad += e.bad
+        # A header with the article's own heading belongs to it.
+        header |= e.name == "header" and not (heading and _within_main(e))
+        inside |= e.main
+        if e.names and any(e.names) and not e.main and not (e.holds_main and e.name not in ("section", "ul", "ol")):
+            names = [max(x, y) for x, y in zip(names, e.names, strict=True)]
         e = e.parent
+    words = block.text.count(" ") + 1
     links = block.linked / max(1, block.length)
-    words = len(block.text.split())
-    if inside:
-        content += 120
-    elif has_main:
-        boilerplate += 120
-    content += min(40, words) + 5 * min(4, len(_ENDS.findall(block.text))) + 20 * (heading and words > 1)
-    boilerplate += int(60 * links) + (15 if words < 4 and has_main and not inside else 0) + (20 if block.text[:1] in "©" else 0)
-    return content, boilerplate
+    sentences = min(4, len(_ENDS.findall(block.text)))
+    return [
+        1.0, inside, has_main and not inside, min(2, bad), header, *names, links, min(5.0, math.log(words)), sentences / 2, heading and words > 1,
+        block.text[0] in "©®" or block.text[:3] == "(c)", words < 4, min(20, depth) / 10, item,
+    ]
 
 
 def _within_main(e: Element) -> bool:
@@ -263,15 +293,124 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
                 break
 
 
-#: Smoothness between blocks in succession, and more if they share their parent element's parent or parent.
-NEXT, SAME_PARENT, SAME_GRANDPARENT = 4, 12, 6
-
-
-def main_text(source: str | None) -> str:
-    """The content blocks' texts joined by one space; empty if none."""
-    blocks = blocks_of(source or "")
-    has_main = any(_within_main(b.parent) or b.parent.main for b in blocks)
-    costs = [capacities(b, has_main) for b in blocks]
+#: Smoothness between blocks in succession, and more if they share their parent element's parent or parent; in
+#: hundredths of a logit, like the terminal capacities.
+NEXT, SAME_PARENT, SAME_GRANDPARENT = 20, 150, 120
+#: Layouts that the classifier is fitted on, and its ridge.
+LAYOUTS, RIDGE = 500, 0.1
+_MARK = "\u2713"  # begins the content blocks of a generated layout
+
+
+def training_pages(count: int = LAYOUTS, seed: int = 1) -> list[str]:
+    """Generated layouts whose content blocks begin with a mark: with and without articles, with named or nameless
+    containers, lists, short paragraphs, menus, notices, adverts (some within the text), related links, comments. Content
+    now and then bears names that mostly mark boilerplate."""
+    r = random.Random(seed)
+
+    def words(low: int, high: int, stop: bool = True) -> str:
+        n = r.randint(low, high)
+        out = [r.choice("the a of we it river stone paper light green seven walks under story keeps hand".split()) for _ in range(n)]
+        for k in range(r.randint(5, 14), n, r.randint(6, 14)):
+            out[k - 1] += r.choice(",.")
+        return " ".join(out).capitalize() + (r.choice(".....!?") if stop else "")
+
+    link = lambda text: f'<a href="x">{text}</a>'
+    linked = lambda low, high: "".join(f"<li>{link(words(1, 4, False))}</li>" for _ in range(r.randint(low, high)))
+    named = lambda kind, k=1.0: f' {r.choice(("class", "class", "id"))}="{_name(r, kind)}"' if r.random() < k else ""
+
+    def nested(text: str) -> str:
+        n = r.randint(0, 3)
+        return "<div>" * n + text + "</div>" * n
+
+    def content(own: bool) -> str:
+        out = [f"<h1>{_MARK}{words(2, 9, False)}</h1>"] if r.random() < 0.8 else []
+        if out and own and r.random() < 0.2:
+            out = [f"<header>{out[0]}</header>"]
+        for _ in range(r.randint(2, 9)):
+            odd = named(r.choice(("related", "notice", "menu", "side", "frame")), 0.12) if r.random() < 0.5 else ""
+            x = r.random()
+            if x < 0.48:
+                out.append(f"<p{odd}>{_MARK}{words(8, 70)}</p>")
+            elif x < 0.57:
+                out.append(f"<p{odd}>{_MARK}{words(1, 4, r.random() < 0.6)}</p>")
+            elif x < 0.63:
+                out.append(f"<h2>{_MARK}{words(1, 6, False)}</h2>")
+            elif x < 0.73:
+                out.append(f"<ul{odd}>" + "".join(f"<li>{_MARK if r.random() < 0.8 else link(_MARK + words(1, 5, False)) + '</li><li>' + _MARK}{words(2, 16, r.random() < 0.5)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+            elif x < 0.8:
+                out.append(f"<p>{_MARK}{words(1, 20, r.random() < 0.5)} {link(words(1, 8, False))} {words(1, 12)}</p>")
+            elif x < 0.84:
+                out.append(f"<div{odd}><p>{_MARK}{words(5, 40)}</p><p>{_MARK}{words(5, 40)}</p></div>")
+            elif x < 0.92:
+                out.append(f"<div{named('advert')}>{words(2, 12)}</div>")
+            else:
+                out.append(r.choice((f"<aside>{words(3, 20)}</aside>", f"<form><label>{words(1, 3, False)}</label><button>{words(1, 2, False)}</button></form>", f"<div{named('related')}><ul>{linked(2, 5)}</ul></div>")))
+        return "".join(out)
+
+    def boilerplate() -> str:
+        x = r.random()
+        if x < 0.25:
+            return f"<{(t := r.choice(('nav', 'div', 'div', 'menu')))}{named('menu', 0.7)}><ul>{linked(3, 9)}</ul></{t}>"
+        if x < 0.4:
+            return f"<div{named('advert', 0.9)}>{words(2, 14)}</div>"
+        if x < 0.52:
+            return f"<div{named('notice', 0.9)}>{words(4, 30)} {link(words(1, 3, False))}</div>"
+        if x < 0.64:
+            return f"<{(t := r.choice(('aside', 'div')))}{named('side', 0.8)}><h3>{words(1, 3, False)}</h3><p>{words(3, 25)}</p><ul>{linked(1, 5)}</ul></{t}>"
+        if x < 0.76:
+            return f"<div{named('related', 0.8)}><h3>{words(1, 3, False)}</h3><ul>{linked(2, 6)}</ul></div>"
+        if x < 0.86:
+            return "<section{}><h2>{}</h2>{}</section>".format(named("remark"), words(1, 2, False), "".join(f"<{t}{named('remark')}><p>{words(3, 40)}</p></{t}>" for t in [r.choice(("article", "div"))] * r.randint(1, 4)))
+        if x < 0.94:
+            return f"<form{named('frame', 0.3)}><label>{words(1, 3, False)}</label><input><button>{words(1, 2, False)}</button></form>"
+        return f"<p>{link(words(1, 5, False))}</p>"
+
+    pages = []
+    for _ in range(count):
+        if r.random() < 0.1:  # text and hardly more
+            pages.append("".join(f"<p>{_MARK}{words(2, 30)}</p>" for _ in range(r.randint(1, 4))) + (boilerplate() if r.random() < 0.3 else ""))
+            continue
+        kind = r.choice(("article", "article", "main", "named", "named", "plain", "plain"))
+        text = content(kind in ("article", "main"))
+        body = {"article": f"<article>{text}</article>", "main": f"<main><div>{text}</div></main>", "named": f"<div{named('good')}>{text}</div>", "plain": f"<div>{text}</div>"}[kind]
+        body = nested(body)
+        if r.random() < 0.3:
+            body = f"<div{named(r.choice(('side', 'good', 'menu')), 0.3)}>{body}{boilerplate()}</div>"
+        top = f"<{(t := r.choice(('header', 'div')))}{named('frame', 1.0 if t == 'div' else 0.4)}><h1>{words(1, 4, False)}</h1><p>{words(1, 8, False)}</p></{t}>" if r.random() < 0.6 else ""
+        end = f"<{(t := r.choice(('footer', 'div')))}{named('frame', 0.9 if t == 'div' else 0.4)}>{r.choice(('© ', '', 'Copyright '))}{words(2, 20)}</{t}>" if r.random() < 0.8 else ""
+        pages.append("<html><body>" + top + "".join(nested(boilerplate()) for _ in range(r.randint(0, 3))) + body + "".join(nested(boilerplate()) for _ in range(r.randint(0, 3))) + end + "</body></html>")
+    return pages
+
+
+def _name(r: random.Random, kind: str) -> str:
+    word = r.choice(GROUPS[kind].split())
+    filler = sorted(FILLER)
+    return r.choice((word, word, f"{r.choice(filler)}-{word}", f"{word}_{r.choice(filler)}"))
+
+
+def labelled_blocks(pages: list[str]) -> tuple[list[list[Block]], list[np.ndarray], list[np.ndarray]]:
+    """Blocks, features and labels of generated layouts, by page; the marks are taken off."""
+    blocks, rows, labels = [], [], []
+    for p in pages:
+        found = blocks_of(p)
+        labels.append(np.array([b.text.startswith(_MARK) for b in found]))
+        for b in found:
+            b.text = b.text.removeprefix(_MARK)
+        has_main = any(_within_main(b.parent) or b.parent.main for b in found)
+        rows.append(np.array([features(b, has_main) for b in found], float).reshape(-1, len(FEATURES)))
+        blocks.append(found)
+    return blocks, rows, labels
+
+
+@lru_cache(1)
+def fitted() -> tuple[float, ...]:
+    """The classifier's weights, by FEATURES; the same wherever they are fitted."""
+    _, rows, labels = labelled_blocks(training_pages())
+    return tuple(logistic(np.concatenate(rows), np.concatenate(labels).astype(float), RIDGE).round(4).tolist())
+
+
+def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """The smoothness edges (block, block, capacity)."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
@@ -281,7 +420,25 @@ def main_text(source: str | None) -> str:
                 if id(e) in last:
                     edges.append((last[id(e)], i, c))
                 last[id(e)] = i
-    keep = min_cut([c for c, _ in costs], [b for _, b in costs], edges)
+    return edges
+
+
+def capacities(logit: float) -> tuple[int, int]:
+    """The costs of calling a block boilerplate and content, -log of the other label's probability, in hundredths."""
+    return round(100 * math.log1p(math.exp(min(30.0, logit)))), round(100 * math.log1p(math.exp(min(30.0, -logit))))
+
+
+def labels_of(blocks: list[Block], weights: tuple[float, ...]) -> list[bool]:
+    """True for content."""
+    has_main = any(_within_main(b.parent) or b.parent.main for b in blocks)
+    costs = [capacities(sum(w * x for w, x in zip(weights, features(b, has_main), strict=True))) for b in blocks]
+    return min_cut([c for c, _ in costs], [b for _, b in costs], edges_of(blocks))
+
+
+def main_text(source: str | None, weights: tuple[float, ...] | None = None) -> str:
+    """The content blocks' texts joined by one space; empty if none."""
+    blocks = blocks_of(source or "")
+    keep = labels_of(blocks, weights or fitted())
     return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
@@ -289,13 +446,14 @@ def page_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     """page_id, url, text, n_chars of every row.
 
     Character references are decoded once, white space inside a block becomes one space, content blocks
-    are joined by one. Null and empty pages, and pages without content, have the empty text. Rows are
-    independent: null or repeated ids and other columns don't matter.
+    are joined by one. Null and empty pages, and pages without content, have the empty text; an empty table gives no
+    rows. Rows are independent: null or repeated ids and other columns don't matter.
     """
+    weights = fitted()
 
     def run(batches):
         for b in batches:
-            texts = [main_text(t.as_py()) for t in b.column(2)]
+            texts = [main_text(t.as_py(), weights) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return arrow_map(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), run, "page_id long, url string, text string, n_chars long")
