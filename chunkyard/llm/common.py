@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +18,10 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 #: Bytes of text of a rule base that small() broadcasts at most.
 BROADCAST_BYTES = 8_000_000
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that a function works on.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
+#: Rows of one file of a table that is known to be small.
+FILE_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +47,9 @@ def small(df: DataFrame, size: int) -> DataFrame:
 
 class Scratch:
     """Parquet tables in the shared checkpoint folder: they cut lineage, survive the loss of
-    executors, and go when dropped or else when the driver's JVM ends."""
+    executors, and go when dropped, at the end of a scope() that they were made in, or else when the driver's JVM ends."""
+
+    _made: ClassVar[list[Scratch] | None] = None  # in the innermost scope
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -51,15 +58,20 @@ class Scratch:
         fs, p = self._fs(self.root)
         fs.mkdirs(p)
         fs.deleteOnExit(p)
+        if Scratch._made is not None:
+            Scratch._made.append(self)
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df, written and read again. rows: a bound of its rows, if known; a small table is written in few files."""
         path = f"{self.root}/{self.saved}"
         self.saved += 1
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -70,26 +82,59 @@ class Scratch:
             fs, p = self._fs(df._scratch_path)
             fs.delete(p, True)
 
+    def close(self) -> None:
+        fs, p = self._fs(self.root)
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
+
+    @classmethod
+    @contextmanager
+    def scope(cls):
+        """At its end the tables go that operators made within: what they returned must have been written by then."""
+        before = cls._made
+        cls._made = made = []
+        try:
+            yield
+        finally:
+            cls._made = before
+            for tmp in made:
+                tmp.close()
+
+
+def slices(batch: pa.RecordBatch):
+    """The batch in parts of at most BATCH_ROWS rows and about BATCH_BYTES, one row at least."""
+    step = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+    return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
+def _trim() -> None:
+    """Unused memory goes back, as workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError, TypeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_ROWS rows: texts are long, and a batch lies in memory on
-    both sides. At the end of a partition Arrow's unused memory goes back."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow with batches cut by rows and bytes: texts are long, and what is made of them is longer.
+    At the end of a partition unused memory goes back. The caller's settings aren't touched; how large the batches are
+    that Spark sends is the session's affair, see chunkyard.shipping."""
 
     def run(batches):
-        yield from function(batches)
-        pa.default_memory_pool().release_unused()
+        yield from function(part for b in batches for part in slices(b))
+        _trim()
 
     return df.mapInArrow(run, schema)
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """ids as a side that is broadcast only if a count finds at most BROADCAST_IDS rows, else joined by shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """df's rows whose column is (left_semi) or isn't (left_anti) among ids, one column of that
-    name. The ids are broadcast only if a count finds at most BROADCAST_IDS of them."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, how)
+    name."""
+    return df.join(few(ids), column, how)
 
 
 GOLD = 0x9E3779B97F4A7C15

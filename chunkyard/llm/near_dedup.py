@@ -16,15 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from chunkyard.llm.common import GOLD, MASK, Scratch, WordHashes, arrow_map, keep_ids, mix, shingle_set, word_hashes, words_of
+from chunkyard.llm.common import GOLD, MASK, Scratch, WordHashes, arrow_map, few, keep_ids, mix, shingle_set, word_hashes, words_of
 
 #: 32 bands of 5 ranks: a pair at the similarity 0.8 has no common band once in 300,000 times, at 0.9 once in 10^12.
 BANDS, ROWS = 32, 5
-#: Set elements in one block of the exact stage, of either side.
-BLOCK_ELEMENTS = 1_000_000
+#: Set elements in one block of the exact stage, of either side; members of a bucket that one task joins.
+BLOCK_ELEMENTS, SALT = 1_000_000, 1000
 _EMPTY = np.int64(np.iinfo(np.int64).max)
-_CHUNK = 300_000
+#: Elements that are signed together: they may need a permutation of 320 bytes each.
+_CHUNK = 60_000
 
 
 def super_min_hash(elements: np.ndarray, sizes: np.ndarray, slots: int) -> np.ndarray:
@@ -79,15 +81,19 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _print_of(elements: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
+
+
 def _signatures(width: int, bands: int, rows: int):
     def run(batches):
         known = WordHashes()
         for b in batches:
-            ids, texts = b.column(0), b.column(1).cast(pa.binary())
+            ids, nids, texts = b.column(0), b.column(1), b.column(2).cast(pa.binary())
             sets, prints, seen, which = [], [], {}, []
             for t in texts:
                 s = shingle_set(word_hashes(words_of(t.as_py()), known), width)
-                fp = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                fp = _print_of(s)
                 if fp not in seen:  # equal sets of one batch are signed once
                     seen[fp] = len(sets)
                     sets.append(s)
@@ -107,7 +113,7 @@ def _signatures(width: int, bands: int, rows: int):
             sizes = np.array([len(s) for s in sets], np.int64)
             w = np.array(which, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * bands), pa.array(keys[w].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes[w]), pa.array(prints, pa.binary()), lists], names=["doc_id", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, nids, pa.array(sizes[w]), pa.array(prints, pa.binary()), lists], names=["doc_id", "nid", "n", "fp", "bands"])
 
     return run
 
@@ -116,10 +122,10 @@ def _sets(width: int):
     def run(batches):
         known = WordHashes()
         for b in batches:
-            sets = [shingle_set(word_hashes(words_of(t.as_py()), known), width).view(np.int64) for t in b.column(1).cast(pa.binary())]
+            sets = [shingle_set(word_hashes(words_of(t.as_py()), known), width) for t in b.column(1).cast(pa.binary())]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), lists], names=["nid", "s"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(map(_print_of, sets), pa.binary()), lists], names=["fp", "s"])
 
     return run
 
@@ -148,24 +154,25 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["u", "v"])
 
 
-def connected_components(tmp: Scratch, links: DataFrame) -> DataFrame:
-    """(node, comp) of every linked node; comp is the smallest node reachable.
+def star_forest(tmp: Scratch, links: DataFrame, most: int) -> DataFrame:
+    """(u, v) of every linked node but the roots; v, the root, is the smallest node reachable. most: a bound of the
+    links' count.
 
     Union-find inside partitions, then alternating large and small stars on what is left, until
     each node hangs on one root. Links stay distributed.
     """
-    edges = tmp.save(arrow_map(links.toDF("u", "v"), _forest, "u long, v long").distinct())
+    edges = tmp.save(arrow_map(links.toDF("u", "v"), _forest, "u long, v long").distinct(), most)
     while True:
-        roots = edges.select(F.col("u").alias("v"))
-        flat = edges.join(roots, "v", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty()
-        if flat:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
+        hanging = edges.groupBy("u").agg(F.count("*").alias("k"))
+        roots = edges.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1))
+        if hanging.join(roots, "u", "left").where("k > 1 or root = 1").isEmpty():
+            return edges
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v")
-        new = tmp.save(arrow_map(small, _forest, "u long, v long").distinct())
+        new = tmp.save(arrow_map(small, _forest, "u long, v long").distinct(), 2 * most)
         tmp.drop(edges)
         edges = new
 
@@ -214,69 +221,124 @@ def _block_links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+def _by_bucket(members: DataFrame, of: DataFrame) -> DataFrame:
+    """members (with key, nid and c, the bucket's size) joined with of's row of their bucket. A large bucket is dealt
+    over as many tasks as its size calls for, so `of` has its size as `size`."""
+    pieces = lambda c: F.ceil(F.col(c) / SALT)
+    dealt = of.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), pieces("size") - 1))).drop("size")
+    return members.withColumn("salt", F.pmod(F.xxhash64("nid"), pieces("c"))).join(dealt, ["key", "salt"]).drop("salt")
 
-    Words are runs of other than blanks and the controls 9 to 13, A-Z lower-cased; a document's set
-    holds its distinct runs of `shingle` words (fewer words: the whole sequence). Documents link when
-    100 * intersection >= percent * union of the full sets; a component's id is its smallest doc_id,
-    and kept marks that document. Null and empty texts have n_shingles 0 and link with nothing. A
-    null doc_id links with nothing, has a null component_id and is kept. Rows that repeat a doc_id
-    count as one document. Ties don't arise: ids order all choices. Other columns are ignored.
-    """
+
+def _classes(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text): signed, which has doc_id, n and fp (the set's digest) of each row, and fp, comp of
+    the sets that documents with an id have; comp is the smallest doc_id of all sets reachable.
+
+    A set is a node, numbered by one of its rows, so ids that repeat with other texts don't merge."""
     tmp = Scratch(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = tmp.save(arrow_map(docs, _signatures(shingle, bands, rows), "doc_id long, n long, fp binary, bands array<long>"))
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("nid"), "text")
+    signed = tmp.save(arrow_map(numbered, _signatures(shingle, bands, rows), "doc_id long, nid long, n long, fp binary, bands array<long>"))
     usable = signed.where("n > 0 and doc_id is not null")
-    classes = tmp.save(usable.groupBy("fp").agg(F.min("doc_id").alias("nid"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = tmp.save(usable.groupBy("fp").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     banded = classes.select("nid", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = tmp.save(banded.join(shared, "key"))
-    sets = tmp.save(arrow_map(keep_ids(docs.where("doc_id is not null"), members.select(F.col("nid").alias("doc_id")).distinct(), "doc_id"), _sets(shingle), "nid long, s array<long>").distinct())
+    count = members.count()
+    wanted = classes.select("fp", "nid", "least").join(members.select("nid").distinct(), "nid", "left_semi")
+    made = arrow_map(keep_ids(docs, wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id"), _sets(shingle), "fp binary, s array<long>")
+    sets = tmp.save(made.join(wanted.select("fp", "nid"), "fp").groupBy("nid").agg(F.first("s").alias("s")))
 
     mates = members.groupBy("nid").agg(F.sum("c").alias("mates"))
-    hubs = members.join(mates, "nid").groupBy("key").agg(F.max_by(F.struct(F.col("nid").alias("hub"), F.col("n").alias("hub_n")), F.struct("mates", -F.col("nid"))).alias("h")).select("key", "h.*")
+    hubs = members.join(mates, "nid").groupBy("key").agg(F.max("c").alias("size"), F.max_by(F.struct(F.col("nid").alias("hub"), F.col("n").alias("hub_n")), F.struct("mates", -F.col("nid"))).alias("h")).select("key", "size", "h.*")
     close = (F.col("nid") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    edges = members.join(hubs, "key").where(close).select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()
-    links = tmp.save(_linked(edges, sets, percent))
-
-    def open_buckets(comps: DataFrame) -> DataFrame:
-        """Members of the buckets of over two that hold several groups; query: outside the largest."""
-        of = members.where("c > 2").join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        groups = of.groupBy("key", "comp").agg(F.count("*").alias("k"))
-        largest = groups.groupBy("key").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
-        return of.join(largest, "key").withColumn("query", F.col("comp") != F.col("main")).drop("main")
-
-    comps = connected_components(tmp, links)
-    still = tmp.save(open_buckets(comps))
+    edges = _by_bucket(members, hubs).where(close).select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()
+    links = tmp.save(_linked(edges, sets, percent), count)
+
+    def open_buckets(forest: DataFrame) -> DataFrame:
+        """Members of the buckets of over two that hold several groups; query: outside the largest; qb, db: the
+        blocks of queries and of all members."""
+        comps = forest.select(F.col("u").alias("nid"), F.col("v").alias("comp"))
+        of = members.where("c > 2").join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        groups = of.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.max("c").alias("c"))
+        order = F.struct("k", -F.col("comp"))
+        blocks = lambda w: F.ceil(w / BLOCK_ELEMENTS).cast("int")
+        largest = groups.groupBy("key").agg(F.max("c").alias("size"), F.max_by("comp", order).alias("main"), F.count("*").alias("groups"), blocks(F.sum("w") - F.max_by("w", order)).alias("qb"), blocks(F.sum("w")).alias("db"))
+        return _by_bucket(of, largest.where("groups > 1").drop("groups")).withColumn("query", F.col("comp") != F.col("main")).drop("main")
+
+    forest = star_forest(tmp, links, count)
+    tmp.drop(links)
+    still = tmp.save(open_buckets(forest), count)
     # A second hub for the open buckets: any member of the largest group, another one in each bucket.
-    second = still.where("not query").groupBy("key").agg(F.min_by(F.struct(F.col("nid").alias("hub"), F.col("n").alias("hub_n")), F.xxhash64("key", "nid")).alias("h")).select("key", "h.*")
-    edges = still.where("query").join(second, "key").where(close).select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()
-    more = tmp.save(_linked(edges, sets, percent))
-    comps = connected_components(tmp, links.union(more))
-    tmp.drop(still)
-
-    still = tmp.save(open_buckets(comps))
-    blocks = still.groupBy("key").agg(*(F.ceil(F.sum(F.when(side, F.col("n")).otherwise(0)) / BLOCK_ELEMENTS).alias(x) for x, side in (("qb", F.col("query")), ("db", F.lit(True)))))
+    second = still.where("not query").groupBy("key").agg(F.max("c").alias("size"), F.min_by(F.struct(F.col("nid").alias("hub"), F.col("n").alias("hub_n")), F.xxhash64("key", "nid")).alias("h")).select("key", "size", "h.*")
+    edges = _by_bucket(still.where("query"), second).where(close).select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()
+    more = tmp.save(_linked(edges, sets, percent), count)
+    if not more.isEmpty():
+        before = forest
+        forest = star_forest(tmp, forest.union(more), 2 * count)
+        tmp.drop(before, still)
+        still = tmp.save(open_buckets(forest), count)
+    tmp.drop(more)
+
     keys = still.groupBy("nid").agg(F.sort_array(F.collect_set("key")).alias("ks"))  # at most one for each band
-    dealt = still.join(blocks, "key")
-    spread = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
-    ask = dealt.where("query").withColumn("i", own("qb")).withColumn("j", F.explode(spread("db")))
-    answer = dealt.withColumn("query", F.lit(False)).withColumn("j", own("db")).withColumn("i", F.explode(spread("qb")))
-    rows_in = ask.union(answer.select(ask.columns)).select("key", "i", "j", "nid", "comp", "query").join(keys, "nid").join(sets, "nid")
-    last = tmp.save(rows_in.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long"))
-    comps = tmp.save(connected_components(tmp, links.union(more).union(last)))
-    tmp.drop(sets, members, still, links, more, last)
-
-    named = classes.join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("fp", F.coalesce("comp", "nid").alias("comp"))
-    out = signed.join(named, "fp", "left")
+    ask = still.where("query").withColumn("i", own("qb")).withColumn("j", F.explode(spread("db")))
+    answer = still.withColumn("query", F.lit(False)).withColumn("j", own("db")).withColumn("i", F.explode(spread("qb")))
+    columns = ["key", "i", "j", "nid", "comp", "query"]
+    rows_in = ask.select(columns).union(answer.select(columns)).join(keys, "nid").join(sets, "nid")
+    last = tmp.save(rows_in.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), count)
+    if not last.isEmpty():
+        before = forest
+        forest = star_forest(tmp, forest.union(last), 2 * count)
+        tmp.drop(before)
+    tmp.drop(sets, members, still, last)
+
+    of = classes.select("fp", "nid", "least").join(forest.select(F.col("u").alias("nid"), F.col("v").alias("root")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    least = of.groupBy("root").agg(F.min("least").alias("comp"))
+    return signed.select("doc_id", "n", "fp"), of.join(least, "root").select("fp", "comp")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    Words are runs of other than blanks and the controls 9 to 13, A-Z lower-cased; a document's set
+    holds its distinct runs of `shingle` words (fewer words: the whole sequence). Documents link when
+    100 * intersection >= percent * union of the full sets; a component's id is its smallest doc_id,
+    and kept marks that document. Null and empty texts have n_shingles 0 and link with nothing. A
+    null doc_id links with nothing, has a null component_id and is kept. Rows that repeat a doc_id with one text
+    are one document; with other texts each row goes by its own text, so the same id may be in several components,
+    and in each that it is the smallest of, its rows are kept. Ties don't arise: ids order all choices. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signed, named = _classes(docs, shingle, percent, bands, rows)
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    out = signed.join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document (the smallest doc_id) of each near-duplicate group; all columns."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return keep_ids(docs, gone, "doc_id", "left_anti")
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs with one document (the smallest doc_id) of each near-duplicate group; all columns. Which rows stay is
+    near_duplicates()' kept: of an id that repeats with other texts, those whose own text isn't a copy, so that no text
+    goes without one that stays for it."""
+    signed, named = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, percent, bands, rows)
+    tmp = Scratch(docs.sparkSession)
+    known = signed.where("n > 0 and doc_id is not null").join(named, "fp")
+    gone = tmp.save(known.where("doc_id != comp").select("doc_id", "fp").distinct())
+    stay = known.where("doc_id = comp").select("doc_id").distinct()
+    mixed = tmp.save(gone.select("doc_id").distinct().join(stay, "doc_id", "left_semi"))
+    left = keep_ids(docs, gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    if mixed.isEmpty():
+        return left
+    # Ids with rows of both kinds: their rows are told apart by their sets.
+    at = docs.columns.index("text")
+    printed = StructType([*docs.schema, StructField("_fp", BinaryType())])
+
+    def run(batches):
+        words = WordHashes()
+        for b in batches:
+            fp = [_print_of(shingle_set(word_hashes(words_of(t.as_py()), words), shingle)) for t in b.column(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], schema=pa.schema([*b.schema, pa.field("_fp", pa.binary())]))
+
+    some = arrow_map(keep_ids(docs, mixed, "doc_id"), run, printed)
+    copies = few(gone.join(mixed, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_gone")))
+    return left.unionAll(some.join(copies, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_gone")), "left_anti").drop("_fp"))

@@ -64,6 +64,17 @@ def test_near(spark):
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 1, 2, 3, 4, 5, 7]
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    a, b, c = ("the first of three texts is here", "a second one that has other words", "and the third is unlike both of them")
+    rows = [(3, b), (5, a), (5, b), (7, a), (7, c), (7, c), (8, c)]
+    d = docs(spark, rows)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(d).collect())
+    assert got == sorted([(3, 3, True), (5, 5, True), (5, 3, False), (7, 5, False), (7, 7, True), (7, 7, True), (8, 7, False)])
+    left = drop_near_duplicates(d)
+    assert left.schema == d.schema
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(3, b), (5, a), (7, c), (7, c)])
+
+
 def test_media(spark):
     got = {r.doc_id: r for r in payload_media(docs(spark)).where("doc_id is not null").collect()}
     assert got[2].n_bytes == 0 and got[2].payload_bytes == 64 and got[2].media_sha256 == got[3].media_sha256
