@@ -56,9 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for documents; between stages, Parquet in the shared checkpoint folder."""
+    """The last stage's rows for documents; between stages, Parquet in the shared checkpoint folder. What a stage made
+    for itself, and what it read, goes when its result is written."""
     tmp = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = tmp.save(stage(spark, docs, sf_dir))
+        with Scratch.scope():
+            docs = tmp.save(stage(spark, docs, sf_dir))
+        if read is not None:
+            tmp.drop(read)
+        read = docs
     return docs
