@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chunkyard.llm.common import Scratch, small
+from chunkyard.llm.common import Scratch
 
-#: Light groups that one task differences and rows in one run of slots, on average; a group is heavy above this part of all
-#: bytes, or above one in SHARE of a chunk's bytes for a shard if that is less.
-CHUNK, RUN, HEAVY, SHARE = 20_000, 50_000, 10_000, 10
+#: Light groups that one task differences, partial partitions that one task combines, and rows in one run of slots, on
+#: average; a group is heavy above this part of all bytes, or above one in SHARE of a chunk's bytes for a shard if that is less.
+CHUNK, FAN, RUN, HEAVY, SHARE = 20_000, 500, 50_000, 10_000, 10
 
 
 def difference(weights: list[int], shards: int, start: list[int] | None = None) -> tuple[list[int], list[int]]:
@@ -59,9 +59,9 @@ def difference(weights: list[int], shards: int, start: list[int] | None = None)
     return out, [shard[at[i][0]] for i in range(n)]
 
 
-def combine(sums: list[int], parts: dict[int, list[int]]) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """Adds each part's sums to `sums`, its largest on the smallest, the part with the largest spread first (ties: the
-    lesser number). Returns the sums and (part, its place, shard)."""
+def combine(sums: list[int], parts: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+    """Differences partial partitions on top of `sums`: the part with the largest spread first (ties: the lesser
+    number), its largest sums on the smallest so far. Returns (part, its place, shard)."""
     sums, out = list(sums), []
     for c in sorted(parts, key=lambda c: (min(parts[c]) - max(parts[c]), c)):
         part = parts[c]
@@ -69,19 +69,40 @@ def combine(sums: list[int], parts: dict[int, list[int]]) -> tuple[list[int], li
         for place, s in zip(places, sorted(range(len(sums)), key=sums.__getitem__), strict=True):
             out.append((c, place, s))
             sums[s] += part[place]
-    return sums, out
+    return out
+
+
+def _deal(shards: int, start: list[int]):
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["w", "g"], ascending=[False, True], kind="stable")
+        return pd.DataFrame({"g": t["g"], "part": t["part"], "place": difference(t["w"].tolist(), shards, start)[1], "w": t["w"]})
+
+    return run
+
+
+def _combine(shards: int, start: list[int]):
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        parts: dict[int, list[int]] = {}
+        for c, place, w in zip(t["part"].tolist(), t["place"].tolist(), t["w"].tolist(), strict=True):
+            parts.setdefault(c, [0] * shards)[place] = w
+        rows = [(c, place, int(t["upper"].iloc[0]), s, parts[c][place]) for c, place, s in combine(start, parts)]
+        return pd.DataFrame(rows, columns=["part", "place", "upper", "shard", "w"])
+
+    return run
 
 
 def byte_shards(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; law is `bytes`.
 
     A row's size is its text's UTF-8 bytes (null: none) plus `overhead`. Rows with equal texts are one
-    indivisible group (null counts as empty). Groups that are light against a chunk's bytes for a shard are dealt by
-    hash into chunks; the heavy ones, less than half as many, are dealt first in the same way, until one chunk holds
-    them all. Each chunk is differenced on top of its part of the heavier groups' sums, so that chunks need not wait
-    for one another and light groups make up for heavy ones. Then the chunks are combined, one's largest sums on the
-    smallest so far, so that what they leave uneven doesn't add up. slot numbers a shard's rows from 0 without gaps, in the order of a hash run, then doc_id (nulls first); which
-    of equal rows comes first is free. An empty table gives no rows; other columns are ignored.
+    indivisible group (null counts as empty). One differencing tree at all sizes, however many chunks there are: groups
+    that are light against a chunk's bytes for a shard are dealt by hash into chunks; the heavy ones, less than half as
+    many, are dealt first in the same way, until one chunk holds them all. Each chunk is differenced, on top of its part
+    of the heavier groups' sums, to one partial partition; up to FAN partial partitions are combined to one in the same
+    way, and so on until one is left. Chunks need not wait for one another, light groups make up for heavy ones, and what
+    chunks leave uneven doesn't add up. slot numbers a shard's rows from 0 without gaps, in the order of a
+    hash run, then doc_id (nulls first); which of equal rows comes first is free. An empty table gives no rows; other
+    columns are ignored.
     """
     tmp = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -91,13 +112,6 @@ def byte_shards(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", te
     rows = tmp.save(rows)
     groups = tmp.save(rows.groupBy("g").agg(F.sum("size").alias("w")))
 
-    def deal(start: list[int]):
-        def run(t: pd.DataFrame) -> pd.DataFrame:
-            t = t.sort_values(["w", "g"], ascending=[False, True], kind="stable")
-            return pd.DataFrame({"g": t["g"], "chunk": t["chunk"], "place": difference(t["w"].tolist(), shards, start)[1], "w": t["w"]})
-
-        return run
-
     levels, rest = [], groups
     while True:
         count, total = rest.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
@@ -110,14 +124,20 @@ def byte_shards(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", te
         rest = rest.where(F.col("w") > limit)
     sums, where = [0] * shards, None
     for some, n in reversed(levels):
-        chunks = some.withColumn("chunk", F.pmod(F.xxhash64("g"), F.lit(n)).cast("int")).groupBy("chunk")
-        placed = tmp.save(chunks.applyInPandas(deal([s // n for s in sums]), "g binary, chunk int, place int, w long"))
-        parts: dict[int, list[int]] = {}
-        for r in placed.groupBy("chunk", "place").agg(F.sum("w").alias("w")).collect():  # a row a chunk and shard
-            parts.setdefault(r.chunk, [0] * shards)[r.place] = r.w
-        sums, to = combine(sums, parts)
-        final = docs.sparkSession.createDataFrame(to, "chunk int, place int, shard int")
-        part = placed.join(small(final, 12 * len(to)), ["chunk", "place"]).select("g", "shard")
+        chunks = some.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(n)).cast("int")).groupBy("part")
+        placed = tmp.save(chunks.applyInPandas(_deal(shards, [s // n for s in sums]), "g binary, part int, place int, w long"))
+        parts, to = placed.groupBy("part", "place").agg(F.sum("w").alias("w")), placed.select("g", "part", "place")
+        while True:
+            n = -(-n // FAN)
+            upper = parts.withColumn("upper", F.pmod(F.xxhash64("part"), F.lit(n)).cast("int")).groupBy("upper")
+            above = tmp.save(upper.applyInPandas(_combine(shards, [s // n for s in sums]), "part int, place int, upper int, shard int, w long"))
+            to = to.join(above.select("part", "place", "upper", "shard"), ["part", "place"]).select("g", F.col("upper").alias("part"), F.col("shard").alias("place"))
+            parts = above.groupBy(F.col("upper").alias("part"), F.col("shard").alias("place")).agg(F.sum("w").alias("w"))
+            if n == 1:
+                break
+        for r in parts.collect():  # a row a shard
+            sums[r.place] += r.w
+        part = to.select("g", F.col("place").alias("shard"))
         where = part if where is None else where.union(part)
     dealt = tmp.save(rows.join(where, "g").select("doc_id", "size", "text_crc32", "shard"))
     runs = max(1, -(-dealt.count() // (RUN * shards))) * 4

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import random
 import re
 import zlib
@@ -333,6 +334,51 @@ def test_differencing(weights, shards):
     assert sums == [start[s] + sum(w for w, p in zip(weights, place, strict=True) if p == s) for s in range(shards)]
 
 
+def plain_differencing(weights, shards):
+    """Karmarkar-Karp as the book has it; the final sums, largest first."""
+    parts = [sorted([w] + [0] * (shards - 1), reverse=True) for w in weights]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0] - p[-1])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+    return parts[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 10**9), min_size=1, max_size=40, unique=True), st.integers(2, 6))
+def test_differencing_is_the_plain_one(weights, shards):
+    """Where no two spreads tie, the sums are those of the plain form."""
+    assert sorted(sharding.difference(weights, shards)[0], reverse=True) == plain_differencing(weights, shards)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=2, max_size=8), st.integers(2, 3))
+def test_differencing_against_the_optimum(weights, shards):
+    best = min(max(sum(w for w, s in zip(weights, dealt, strict=True) if s == k) for k in range(shards)) for dealt in itertools.product(range(shards), repeat=len(weights)))
+    largest = max(sharding.difference(weights, shards)[0])
+    assert best <= largest <= best * (4 - 1 / shards) / 3  # the bound of largest-first, which differencing keeps here
+
+
+def test_the_tree_of_partial_partitions(spark, monkeypatch):
+    """Many chunks, combined in several steps, end as even as one chunk, whole groups and all."""
+    r = random.Random(4)
+    rows = [(i, f"{i} " + "x" * int(r.paretovariate(1.1) * 40 % 4000)) for i in range(6000)] + [(10_000 + i, "y" * 3000) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    spreads = []
+    for chunk, fan in ((20_000, 500), (100, 500), (100, 6), (100, 2)):
+        monkeypatch.setattr(sharding, "CHUNK", chunk)
+        monkeypatch.setattr(sharding, "FAN", fan)
+        got = sharding.byte_shards(d, 8).collect()
+        assert len({x.shard for x in got if x.doc_id >= 10_000}) == 1 and len({x.doc_id for x in got}) == len(rows)
+        total = collections.Counter()
+        for x in got:
+            total[x.shard] += x.size
+        heavy = total.pop(next(x.shard for x in got if x.doc_id >= 10_000))
+        spreads.append((max(total.values()) - min(total.values())) / (sum(total.values()) / 7))
+        assert heavy >= 300 * 3016
+    assert max(spreads) < 0.01
+
+
 def test_light_groups_make_up_for_a_heavy_one(spark):
     rows = [(i, "x" * 100) for i in range(3000)] + [(10_000 + i, f"{i} " + "y" * (i % 50)) for i in range(6000)]
     got = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").sum("size").collect()
