@@ -67,11 +67,12 @@ class Scratch:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """df, written and read again. rows: a bound of its rows, if known; a small table is written in few files."""
+        """df, written and read again. rows: a bound of its rows, if known, and if rows are short: they are dealt over as
+        few files as they need, after tasks as many as they were made in."""
         path = f"{self.root}/{self.saved}"
         self.saved += 1
         if rows is not None:
-            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+            df = df.repartition(max(self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

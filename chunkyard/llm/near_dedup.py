@@ -22,8 +22,9 @@ from chunkyard.llm.common import GOLD, MASK, Scratch, WordHashes, arrow_map, few
 
 #: 32 bands of 5 ranks: a pair at the similarity 0.8 has no common band once in 300,000 times, at 0.9 once in 10^12.
 BANDS, ROWS = 32, 5
-#: Set elements in one block of the exact stage, of either side; members of a bucket that one task joins.
-BLOCK_ELEMENTS, SALT = 1_000_000, 1000
+#: Set elements in one block of the exact stage, of either side; members of a bucket that one task joins; tasks that a
+#: component is dealt over.
+BLOCK_ELEMENTS, SALT, SPREAD = 1_000_000, 1000, 16
 _EMPTY = np.int64(np.iinfo(np.int64).max)
 #: Elements that are signed together: they may need a permutation of 320 bytes each.
 _CHUNK = 60_000
@@ -293,8 +294,10 @@ def _classes(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
     tmp.drop(sets, members, still, last)
 
     of = classes.select("fp", "nid", "least").join(forest.select(F.col("u").alias("nid"), F.col("v").alias("root")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    least = of.groupBy("root").agg(F.min("least").alias("comp"))
-    return signed.select("doc_id", "n", "fp"), of.join(least, "root").select("fp", "comp")
+    # A component may hold a large part of all sets: its least id is dealt over several tasks.
+    least = of.groupBy("root").agg(F.min("least").alias("comp")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    named = of.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(SPREAD)).cast("int")).join(least, ["root", "salt"])
+    return signed.select("doc_id", "n", "fp"), named.select("fp", "comp")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
