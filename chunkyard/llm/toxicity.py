@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import WordHashes, arrow_map, shingle_set, word_hashes, words_of
+from chunkyard.llm.common import GOLD, MASK, WordHashes, arrow_map, mix, shingle_set, word_hashes, words_of
 from chunkyard.llm.near_dedup import band_keys, super_min_hash
 
-#: Features kept for the regression, the fewest toxic sample rows that hold a feature, how many times likelier it is in them at least.
+#: Features kept for the regression, the fewest toxic sample rows that hold a feature, how many times likelier it is in them at least,
+#: by rows and by words.
 FEATURES, LEAST_ROWS, LEAST_RATIO = 4000, 3, 10.0
+#: Folds of the sample for grades.
+FOLDS = 4
 #: The bounded sample, as in quality.labelled_sample().
 FIT_ROWS = 3000
 GRADES = 4
 _WORD = re.compile(r"\w+")
 
 
+#: A feature counts again from so many occurrences on, if one in OFTEN words has it.
+LEVELS, OFTEN = (2, 4), 200
+_AGAIN = {n: f"\t{n}" for n in LEVELS}
+
+
 def word_features(word: str) -> list[str]:
     """The word, and its beginnings of 4 to 6 letters."""
     return ["=" + word, *(word[:k] for k in (4, 5, 6) if len(word) >= k)]
@@ -31,30 +40,45 @@ class ToxicityModel:
 
     def __init__(self, weights: dict[str, float], thresholds: list[float]):
         self.weights, self.thresholds = weights, np.array(thresholds)
+        self.telling = {f.split("\t")[0] for f in weights}
         self._words: dict[str, tuple[str, ...]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_words": {}}
 
-    def evidence(self, text: str) -> float:
-        """w.x; x has 1 for each distinct feature of the whole text."""
-        known, weights = self._words, self.weights
-        found: set[str] = set()
-        for w in set(_WORD.findall(text.lower())):
+    def features(self, text: str) -> list[str]:
+        """The distinct features with weights of the whole text, sorted."""
+        known, telling = self._words, self.telling
+        held: dict[str, int] = {}
+        words = _WORD.findall(text.lower())
+        for w, count in Counter(words).items():
             f = known.get(w)
             if f is None:
                 if len(known) >= 300_000:
                     known.clear()
-                f = known[w] = tuple(x for x in word_features(w) if x in weights)
-            if f:
-                found.update(f)
-        return sum(weights[x] for x in sorted(found))
+                f = known[w] = tuple(x for x in word_features(w) if x in telling)
+            for x in f:
+                held[x] = held.get(x, 0) + count
+        out = list(held)
+        for n, again in _AGAIN.items():
+            out += [x + again for x, count in held.items() if count >= n and count * OFTEN >= len(words)]
+        return sorted(x for x in out if x in self.weights)
+
+    def evidence(self, text: str) -> float:
+        """w.x; x has 1 for each feature."""
+        return sum(self.weights[x] for x in self.features(text))
 
     def above(self, evidence: np.ndarray) -> np.ndarray:
         """P(grade > k) for each row and k."""
         return 1 / (1 + np.exp(-np.clip(np.asarray(evidence, float)[:, None] - self.thresholds, -30, 30)))
 
 
+def _again(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of features that occur n times."""
+    with np.errstate(over="ignore"):
+        return mix(hashes + np.uint64(n * GOLD & MASK))
+
+
 class Vocabulary:
     """Distinct words of texts as numbers, and the hashes of each word's features."""
 
@@ -64,21 +88,36 @@ class Vocabulary:
 
     def features(self, text: str) -> np.ndarray:
         """The sorted hashes of a text's distinct features."""
-        at = []
-        for w in set(_WORD.findall(text.lower())):
+        words = _WORD.findall(text.lower())
+        at, times = [], []
+        for w, count in Counter(words).items():
             n = self.words.get(w)
             if n is None:
                 n = self.words[w] = len(self.hashes)
                 self.hashes.append(np.array([xxhash.xxh64_intdigest(f) for f in word_features(w)], np.uint64))
             at.append(self.hashes[n])
-        return np.unique(np.concatenate(at)) if at else np.empty(0, np.uint64)
-
-    def names(self, wanted: set[int]) -> dict[int, str]:
-        return {h: f for w in self.words for f in word_features(w) if (h := xxhash.xxh64_intdigest(f)) in wanted}
+            times.append(count)
+        if not at:
+            return np.empty(0, np.uint64)
+        held, where = np.unique(np.concatenate(at), return_inverse=True)
+        counts = np.bincount(where, np.repeat(times, [len(x) for x in at]))
+        often = counts * OFTEN >= len(words)
+        return np.unique(np.concatenate([held, *(_again(held[often & (counts >= n)], n) for n in LEVELS)]))
+
+    def names(self, wanted: np.ndarray) -> dict[int, str]:
+        """The features with the wanted hashes."""
+        words, flat = list(self.words), np.concatenate([*self.hashes, np.empty(0, np.uint64)])
+        begin = np.cumsum([0, *map(len, self.hashes)])
+        out = {}
+        for again, codes in (("", flat), *((_AGAIN[n], _again(flat, n)) for n in LEVELS)):
+            for i in np.flatnonzero(np.isin(codes, wanted)):
+                w = int(np.searchsorted(begin, i, "right")) - 1
+                out[int(codes[i])] = word_features(words[w])[i - begin[w]] + again
+        return out
 
 
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds of greatest penalised likelihood, by Adam over all rows."""
+    """Weights, none negative, and ordered thresholds of greatest penalised likelihood, by projected Adam over all rows."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate([np.array(r, np.int64) for r in rows] + [np.empty(0, np.int64)])
     cuts = int(grades.max())
@@ -107,6 +146,7 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps:
         g[features + 1 :] = gaps * np.cumsum(dtheta[::-1])[::-1][1:]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        np.maximum(p[:features], 0, out=p[:features])
     gaps = np.exp(np.clip(p[features + 1 :], -6, 6))
     return p[:features], p[features] + np.concatenate([[0.0], np.cumsum(gaps)])
 
@@ -126,11 +166,56 @@ def unlike(sample: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     return out
 
 
+def word_rates(sample: list[tuple[int, str, int]], telling: list[str]) -> tuple[np.ndarray, list[int]]:
+    """Occurrences of features in clean and toxic rows (2 rows of counts), and the words of either."""
+    known: dict[str, list[int]] = {}
+    number: dict[str, list[int]] = {}
+    for k, f in enumerate(telling):
+        number.setdefault(f.split("\t")[0], []).append(k)
+    counts, words = np.zeros((2, len(telling))), [0, 0]
+    for _, text, y in sample:
+        found = _WORD.findall(text.lower())
+        words[y] += len(found)
+        for w in found:
+            at = known.get(w)
+            if at is None:
+                at = known[w] = [k for f in word_features(w) for k in number.get(f, ())]
+            for k in at:
+                counts[y, k] += 1
+    return counts, words
+
+
+def severities(sample: list[tuple[int, str, int]]) -> np.ndarray:
+    """For each row how many of its words, repeated ones too, tell toxic rows from clean ones in the other folds."""
+    bags = [Counter(_WORD.findall(t.lower())) for _, t, _ in sample]
+    y = np.array([t for *_, t in sample], int)
+    fold = np.arange(len(y)) % FOLDS
+    rows = [Counter(), Counter()]
+    part: list[list[Counter]] = [[Counter(), Counter()] for _ in range(FOLDS)]
+    for bag, t, k in zip(bags, y, fold, strict=True):
+        if t:
+            rows[1].update(bag.keys())
+            part[k][1].update(bag.keys())
+    for bag, t, k in zip(bags, y, fold, strict=True):
+        if not t:
+            held = bag.keys() & rows[1].keys()
+            rows[0].update(held)
+            part[k][0].update(held)
+    out = np.zeros(len(y))
+    for k in range(FOLDS):
+        n = [int(((y == t) & (fold != k)).sum()) for t in (0, 1)]
+        tells = {w for w, both in rows[1].items() if (a := both - part[k][1][w]) >= LEAST_ROWS and a * n[0] > LEAST_RATIO * (rows[0][w] - part[k][0][w] + 0.5) * n[1]}
+        for i in np.flatnonzero(fold == k):
+            out[i] = sum(c for w, c in bags[i].items() if w in tells)
+    return out
+
+
 def fit_toxicity(sample: list[tuple[int, str, int]]) -> ToxicityModel:
     """From (doc_id, text, label) rows, label 0 or 1.
 
-    Labels tell only clean from toxic, so grades 1 to 3 of the toxic rows are the thirds of their
-    counts of distinct telling words; grade 0 is clean.
+    Labels tell only clean from toxic. Grades 1 to 3 of the toxic rows are the thirds of their severities(): how much abuse
+    a text holds, by the words that tell in rows of other folds, so not by its own label and the model's choice of features.
+    Features were chosen for being commoner in toxic rows, so weights aren't negative. Grade 0 is clean.
     """
     sample = unlike(sample)
     y = np.array([t for *_, t in sample], int)
@@ -153,14 +238,18 @@ def fit_toxicity(sample: list[tuple[int, str, int]]) -> ToxicityModel:
     good = (a * n[0] > LEAST_RATIO * b * n[1]) & (strength >= 2.5 * np.log(max(len(features), 2)))
     order = np.lexsort((features, -strength))
     chosen = features[order[good[order]][:FEATURES]]
-    named = words.names(set(chosen.tolist()))
+    named = words.names(chosen)
     telling = [named[h] for h in chosen.tolist()]
+    # Long texts hold many rare words, so a few long toxic ones make words look telling: these aren't commoner among the words.
+    counts, total = word_rates(sample, telling)
+    common = counts[1] * total[0] > LEAST_RATIO * (counts[0] + 0.5) * total[1]
+    chosen, telling = chosen[common], [f for f, c in zip(telling, common, strict=True) if c]
     by_hash = np.argsort(chosen)
     cols = [np.sort(by_hash[np.flatnonzero(np.isin(chosen[by_hash], r))]).tolist() for r in rows]
     del words, rows
-    hits = np.array([len({telling[c].lstrip("=")[:4] for c in r}) for r in cols])
-    cut = np.quantile(hits[y == 1], [1 / 3, 2 / 3])
-    grades = np.where(y == 1, 1 + (hits > cut[0]) + (hits > max(cut[1], cut[0] + 1)), 0)
+    severity = severities(sample)
+    cut = np.quantile(severity[y == 1], [1 / 3, 2 / 3])
+    grades = np.where(y == 1, 1 + (severity > cut[0]) + (severity > cut[1]), 0)
     used = np.unique(grades)
     grades = np.searchsorted(used, grades)  # without gaps
     w, theta = fit_ordinal(cols, grades, len(telling))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
 import zlib
@@ -13,12 +14,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chunkyard.llm import decontaminate, gif_media, html_extract, near_dedup, piece_tokens, queries, sharding
+from chunkyard.llm import decontaminate, gif_media, html_extract, near_dedup, piece_tokens, quality, queries, sharding, toxicity
 from chunkyard.llm.html_extract import main_text, min_cut
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -408,30 +410,102 @@ def test_what_chunks_leave_uneven_does_not_add_up(spark, monkeypatch):
 # op5, op6
 
 
-def test_quality(spark, sf):
+@pytest.fixture(scope="module")
+def samples(spark, sf):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    return {c: quality.labelled_sample(docs, labels, c) for c in ("quality", "toxic")}
+
+
+def test_quality(spark, sf, texts, samples):
     label = dict(duckdb.sql(f"select doc_id, quality from '{SMALL}/labels.parquet'").fetchall())
     rows = queries.op5_quality(spark, SMALL).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     held = [(r.predicted, label[r.doc_id]) for r in rows if r.held_out and r.doc_id in label]
     assert sum(a == b for a, b in held) / len(held) > 0.96
+    # The scores, from the dictionaries and the weights one by one.
+    m = quality.fit_quality(samples["quality"])
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        a, b = (len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw)) for d in (m.good, m.bad)) if r.doc_id % 5 == 0 else (None, None)
+        if a is None:
+            continue
+        d, n, k = (min(4, max(-4, (x - c) / s)) for x, c, s in zip(((a - b) / (a + b), math.log(len(raw) + 1), (a + b) / (2 * (len(raw) + 16))), m.centre, m.scale, strict=True))
+        z = sum(w * t for w, t in zip(m.weights, (1, d, n, k, d * n, d * k, n * k, d * d, n * n, k * k), strict=True))
+        assert abs(r.score - 1 / (1 + math.exp(-min(30, max(-30, z))))) < 1e-9
+
 
+def test_logistic_is_at_its_best():
+    r = np.random.default_rng(3)
+    x = np.hstack([np.ones((300, 1)), r.normal(size=(300, 3))])
+    y = (x @ [0.3, 1, -2, 0] + r.logistic(size=300) > 0).astype(float)
+    w = quality.logistic(x, y)
+    loss = lambda w: sum(math.log1p(math.exp(-z if t else z)) for z, t in zip(x @ w, y, strict=True)) + w @ w / 2
+    assert all(loss(w + d) > loss(w) for d in 0.01 * np.vstack([np.eye(4), -np.eye(4)]))
 
-def test_toxicity(spark, sf):
+
+def test_toxicity(spark, sf, texts, samples):
     label = dict(duckdb.sql(f"select doc_id, toxic from '{SMALL}/labels.parquet'").fetchall())
     rows = queries.op6_toxicity(spark, SMALL).collect()
     assert all(0 <= r.severity <= 3 for r in rows)
     held = [(r.toxic, bool(label[r.doc_id])) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and r.doc_id in label]
-    assert sum(a == b for a, b in held) / len(held) > 0.94 and not any(a and not b for a, b in held)
+    assert sum(a == b for a, b in held) / len(held) > 0.96 and not any(a and not b for a, b in held)
+    assert sum(a and b for a, b in held) / sum(b for _, b in held) > 0.8
+    # Features, thresholds and expectations one by one.
+    m = toxicity.fit_toxicity(samples["toxic"])
+    assert min(m.weights.values()) >= 0 and (np.diff(m.thresholds) > 0).all()
+    for r in rows:
+        words = re.findall(r"\w+", (texts[r.doc_id] or "").lower())
+        count = collections.Counter(f for w in words for f in ["=" + w, *{w[:4], w[:5], w[:6]}] if f[0] == "=" or len(f) > 3)
+        z = 0.0
+        for name, w in m.weights.items():
+            f, _, times = name.partition("\t")
+            z += w * (count[f] >= 1 if not times else count[f] >= int(times) and 200 * count[f] >= len(words))
+        above = [1 / (1 + math.exp(-min(30, max(-30, z - t)))) for t in m.thresholds]
+        assert abs(r.severity - sum(above)) < 1e-9 and r.toxic == (above[0] >= 0.5)
+        chances = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+        assert chances[r.grade] == pytest.approx(max(chances))
+
+
+def test_severities_are_of_other_folds():
+    """A word that only one fold's rows hold tells nothing of them."""
+    bad, odd = "plain words and insult here", "plain words and strange here"
+    sample = [(i, bad if i % 2 else "plain words and nothing here", i % 2) for i in range(400)]
+    for i in range(1, 400, toxicity.FOLDS):
+        sample[i] = (i, odd + " insult insult", 1)
+    got = toxicity.severities(sample)
+    assert set(got[1 :: toxicity.FOLDS]) == {2} and set(got[3 :: toxicity.FOLDS]) == {1} and set(got[0::2]) == {0}
 
 
 def test_grades_are_ordered():
-    from chunkyard.llm.toxicity import fit_ordinal
-
     rows = [[]] * 50 + [[0]] * 50 + [[0, 1]] * 50
-    w, theta = fit_ordinal(rows, np.repeat([0, 1, 2], 50), 2)
+    w, theta = toxicity.fit_ordinal(rows, np.repeat([0, 1, 2], 50), 2)
     assert (np.diff(theta) > 0).all() and (w > 0).all()
 
 
+def test_ordinal_fit_is_at_its_best():
+    r = random.Random(2)
+    rows, grades = [], []
+    for _ in range(400):
+        held = [k for k in range(4) if r.random() < 0.4]
+        rows.append(held)
+        grades.append(min(2, max(0, round(sum((0.0, 0.5, 1.0, 1.5)[k] for k in held) + r.gauss(-0.5, 0.7)))))
+    w, theta = toxicity.fit_ordinal(rows, np.array(grades), 4, steps=3000)
+
+    def loss(p):
+        cuts, out = [math.inf, *(-t for t in p[4:]), -math.inf], 0.0
+        for held, g in zip(rows, grades, strict=True):
+            z = sum(p[k] for k in held)
+            up, low = (1.0 if c == math.inf else 0.0 if c == -math.inf else 1 / (1 + math.exp(-(z + c))) for c in (cuts[g], cuts[g + 1]))
+            out -= math.log(up - low) / len(rows)
+        return out + 1e-4 * sum(x * x for x in p[:4]) / 2
+
+    best = [*w, *theta]
+    for k in range(6):
+        for step in (0.1, -0.1):
+            other = [x + step * (i == k) for i, x in enumerate(best)]
+            assert min(other[:4]) < 0 or loss(other) > loss(best)
+
+
 # op8
 
 
