@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from chunkyard.operators import codec, generate, grids, mesh, packs, texts
-from chunkyard.sources.files import base_name, safe_name, write_files
+from chunkyard.sources.files import base_name, write_files
 
 USAGE = """commands:
   update IN.chunk UPDATES.json OUT.chunk
@@ -51,14 +51,13 @@ def main(argv: list[str]) -> int:
         _write(args[1], mesh.chunk_glb(_read(args[0])))
     elif command == "pack-glb":
         _write(args[1], mesh.pack_glb(_read(args[0])))
-    elif command == "unpack":
-        os.makedirs(args[1], exist_ok=True)
-        (bpp, w, h, d, pal), entries = packs.read_pack(_read(args[0]))
-        for name, enc, payload in entries:
-            _write(os.path.join(args[1], safe_name(name)), codec.build_file(enc, payload, bpp, (w, h, d), pal))
     else:
         spark = SparkSession.builder.getOrCreate()
-        if command == "update":
+        if command == "unpack":
+            os.makedirs(args[1], exist_ok=True)
+            read = spark.read.format("binaryFile").load(args[0]).select(F.lit("").alias("pack"), "content")
+            write_files(packs.read_packs(read).select("name", "content"), args[1])
+        elif command == "update":
             _write(args[2], update(spark, _read(args[0]), _read(args[1]).decode()))
         elif command == "from-json":
             _write(args[1], update(spark, None, _read(args[0]).decode()))

@@ -46,6 +46,12 @@ def swapped_rank(x: Column, y: Column, z: Column) -> Column:
     return morton(x, z, y)
 
 
+def from_swapped_rank(rank: Column) -> tuple[Column, Column, Column]:
+    """x, y, z of swapped_rank()."""
+    x, z, y = from_morton(rank)
+    return x, y, z
+
+
 def morton_bits(w: Column, d: Column, h: Column) -> Column:
     """Bits of a Morton code of a box: three times the bits of the largest side less one."""
     m = F.greatest(w, d, h) - 1

@@ -13,6 +13,11 @@ from chunkyard.functions.index import from_update_index
 from chunkyard.model import CELLS
 
 USABLE = 63  # colors 1 to 63
+#: Weights and factor of the corner noise, the step of an octave's seed, terrain's and contour's scales,
+#: terrain's threshold and its fall with height, the weights of terrain's colors.
+CORNER, FACTOR, OCTAVE = (127.1, 311.7, 74.7), 43758.5453, 13.37
+TERRAIN_SCALE, CONTOUR_SCALE, THRESHOLD, FALL = (0.35, 0.55, 0.35), (0.35, 0.35, 0.35), 0.58, 0.06
+TERRAIN_COLOR = (997, 17, 31, 13)
 
 
 def cells(spark: SparkSession, chunks: int = 1) -> DataFrame:
@@ -74,7 +79,7 @@ def _value_noise(at: np.ndarray, seed: float) -> np.ndarray:
     smooth = t * t * (3 - 2 * t)
     out = np.zeros(len(at))
     for corner in np.ndindex(2, 2, 2):
-        h = np.sin((base + corner) @ np.array([127.1, 311.7, 74.7]) + seed) * 43758.5453
+        h = np.sin((base + corner) @ np.array(CORNER) + seed) * FACTOR
         out += (h - np.floor(h)) * np.where(corner, smooth, 1 - smooth).prod(axis=1)
     return out
 
@@ -87,7 +92,7 @@ def with_noise(grid: DataFrame, scale: tuple[float, float, float], seed: float,
     def run(batches):
         for b in batches:
             at = np.stack([b.column(i).to_numpy() for i in where], 1) * np.array(scale)
-            n = sum(_value_noise(at * 2**i, seed + 13.37 * i) * 0.5 ** (i + 1) for i in range(octaves))
+            n = sum(_value_noise(at * 2**i, seed + OCTAVE * i) * 0.5 ** (i + 1) for i in range(octaves))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=[*b.schema.names, "n"])
 
     return grid.mapInArrow(run, T.StructType([*grid.schema, T.StructField("n", T.DoubleType())]))
@@ -95,13 +100,14 @@ def with_noise(grid: DataFrame, scale: tuple[float, float, float], seed: float,
 
 def terrain(grid: DataFrame, seed: float = 0.0) -> DataFrame:
     """Noise above a threshold that falls with height."""
-    color = F.pmod(F.floor(F.col("n") * 997 + F.col("x") * 17 + F.col("y") * 31 + F.col("z") * 13), F.lit(USABLE)) + 1
-    made = with_noise(grid, (0.35, 0.55, 0.35), seed, 3)
-    return made.where(F.col("n") > 0.58 - F.col("y") * 0.06).withColumn("color", color.cast("int")).drop("n")
+    n, x, y, z = TERRAIN_COLOR
+    color = F.pmod(F.floor(F.col("n") * n + F.col("x") * x + F.col("y") * y + F.col("z") * z), F.lit(USABLE)) + 1
+    made = with_noise(grid, TERRAIN_SCALE, seed, 3)
+    return made.where(F.col("n") > THRESHOLD - F.col("y") * FALL).withColumn("color", color.cast("int")).drop("n")
 
 
 def contour(grid: DataFrame, seed: float = 0.0) -> DataFrame:
     """A border two cells wide, one from the edge, on the two lowest layers."""
     edge = F.least(F.col("x"), 15 - F.col("x"), F.col("z"), 15 - F.col("z"))
-    made = with_noise(grid.where((F.col("y") < 2) & edge.between(1, 2)), (0.35, 0.35, 0.35), seed, 2)
+    made = with_noise(grid.where((F.col("y") < 2) & edge.between(1, 2)), CONTOUR_SCALE, seed, 2)
     return made.withColumn("color", (F.pmod(F.floor(F.col("n") * USABLE), F.lit(USABLE)) + 1).cast("int")).drop("n")

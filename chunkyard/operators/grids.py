@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from chunkyard.functions.index import from_update_index, morton
 from chunkyard.model import CELLS
 
-#: Direction number -> (axis, step): +x, -x, +y, -y, +z, -z.
+#: Direction number -> (axis, step): +x, -x, +y, -y, +z, -z.
 DIRECTIONS = (("x", 1), ("x", -1), ("y", 1), ("y", -1), ("z", 1), ("z", -1))
 
 
@@ -23,9 +23,9 @@ def with_position(cells: DataFrame) -> DataFrame:
 
 
 def apply_log(log: DataFrame, order: Column, base: DataFrame | None = None) -> DataFrame:
-    """Last write wins over (chunk_id, idx, color); color 0 erases, idx beyond the chunk is dropped, color
-    is held to 0..255. base: voxels that count as written before. One exchange, after partial sums."""
-    writes = log.where(F.col("idx").between(0, CELLS - 1)).select("chunk_id", "idx", F.greatest(F.least("color", F.lit(255)), F.lit(0)).alias("color"), F.struct(F.lit(1).alias("late"), order.alias("o")).alias("at"))
+    """Last write wins over (chunk_id, idx, color); color 0 erases, idx beyond the chunk is dropped, and so are writes
+    with a null idx or color; color is held to 0..255. base: voxels that count as written before. One exchange, after partial sums."""
+    writes = log.where(F.col("idx").between(0, CELLS - 1) & F.col("color").isNotNull()).select("chunk_id", "idx", F.greatest(F.least("color", F.lit(255)), F.lit(0)).alias("color"), F.struct(F.lit(1).alias("late"), order.alias("o")).alias("at"))
     last = writes.groupBy("chunk_id", "idx").agg(F.max_by("color", "at").alias("color"))
     if base is not None:
         old = base.select("chunk_id", "idx", F.lit(0).alias("late"), "color")
@@ -35,8 +35,8 @@ def apply_log(log: DataFrame, order: Column, base: DataFrame | None = None) -> D
 
 
 def erased(log: DataFrame, order: Column) -> DataFrame:
-    """Cells whose last write is 0."""
-    return log.groupBy("chunk_id", "idx").agg(F.max_by("color", order).alias("color")).where("color = 0").select("chunk_id", "idx")
+    """Cells whose last write is 0; writes without a color don't count."""
+    return log.where("color is not null").groupBy("chunk_id", "idx").agg(F.max_by("color", order).alias("color")).where("color = 0").select("chunk_id", "idx")
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -53,10 +53,26 @@ def overlay(under: DataFrame, over: DataFrame) -> DataFrame:
 
 def densify(voxels: DataFrame) -> DataFrame:
     """All 4,096 cells of each chunk that has a voxel, empty ones with color 0, with their rank."""
-    stream = voxels.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "color"))).alias("m"))
-    cells = stream.select("chunk_id", "m", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("idx"))
+    cells = voxels.select("chunk_id").distinct().select("chunk_id", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("idx"))
     x, y, z = from_update_index(F.col("idx"))
-    return cells.select("chunk_id", "idx", morton(x, y, z).cast("int").alias("rank"), F.coalesce(F.element_at("m", F.col("idx")), F.lit(0)).alias("color"))
+    full = cells.join(voxels.select("chunk_id", "idx", "color"), ["chunk_id", "idx"], "left")
+    return full.select("chunk_id", "idx", morton(x, y, z).cast("int").alias("rank"), F.coalesce("color", F.lit(0)).alias("color"))
+
+
+def in_stream_order(voxels: DataFrame) -> DataFrame:
+    """voxels with their rank, in chunks and ranks ascending: ranges of chunks, each sorted by itself."""
+    ranked = voxels.withColumn("rank", morton(F.col("x"), F.col("y"), F.col("z")).cast("int"))
+    return ranked.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id", "rank")
+
+
+def cleared(voxels: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """voxels without the chunks named in chunks (chunk_id); None: without any."""
+    return voxels.where("false") if chunks is None else voxels.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti").select(voxels.columns)
+
+
+def clearing(voxels: DataFrame) -> DataFrame:
+    """The writes that erase every voxel, as a log for apply_log()."""
+    return voxels.select("chunk_id", "idx", F.lit(0).alias("color"))
 
 
 def colors_at(voxels: DataFrame, points: DataFrame) -> DataFrame:
@@ -109,10 +125,8 @@ def raw_sizes(voxels: DataFrame, bpp: int = 6) -> DataFrame:
     return sized.withColumn("enc", choice)
 
 
-def pack_positions(entries: DataFrame, size: int, order: str = "name", width: int = 16, depth: int = 16) -> DataFrame:
-    """name, ord, x, z: `size` entries on a square grid in name order, column first."""
-    cols = max(1, int((size - 1) ** 0.5) + 1) if size else 1
-    while cols > 1 and (cols - 1) ** 2 >= size:
-        cols -= 1
-    numbered = entries.select(order).withColumn("ord", F.row_number().over(Window.orderBy(order)) - 1)  # a pack's names
-    return numbered.select(order, "ord", (F.col("ord") % cols * width).alias("x"), (F.floor(F.col("ord") / cols) * depth).cast("int").alias("z"))
+def pack_positions(entries: DataFrame, pack: str = "pack", name: str = "name", width: int = 16, depth: int = 16) -> DataFrame:
+    """pack, name, ord, x, z: each pack's entries on a square grid in name order, column first. Packs are numbered apart."""
+    own = Window.partitionBy(pack)
+    numbered = entries.select(pack, name, (F.row_number().over(own.orderBy(name)) - 1).alias("ord"), F.ceil(F.sqrt(F.count("*").over(own))).alias("cols"))
+    return numbered.select(pack, name, "ord", (F.col("ord") % F.col("cols") * width).cast("int").alias("x"), (F.floor(F.col("ord") / F.col("cols")) * depth).cast("int").alias("z"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chunkyard.model import PALETTE, QUADS, SIDE, palette
 from chunkyard.operators.codec import INDEX, cells_of, load_file, streams
 
-#: For each direction: the axis it looks along (0 x, 1 y, 2 z), its sign, and the axes that rows and columns of a slice run along.
+#: Fixed values, for each direction: the axis it looks along (0 x, 1 y, 2 z), its sign, and the axes that rows and columns of a slice run along.
 FACING = ((0, 1, 1, 2), (0, -1, 1, 2), (1, 1, 0, 2), (1, -1, 0, 2), (2, 1, 0, 1), (2, -1, 0, 1))
 
 
@@ -94,6 +94,11 @@ def vertices(q: DataFrame) -> DataFrame:
     return out.select("chunk_id", (F.col("quad").cast("long") * 4 + F.col("k")).alias("vertex_id"), "p.px", "p.py", "p.pz", "nx", "ny", "nz", "color")
 
 
+def mesh_counts(q: DataFrame) -> DataFrame:
+    """chunk_id, vertices, indices: four and six a quad."""
+    return q.groupBy("chunk_id").agg((F.count("*") * 4).alias("vertices"), (F.count("*") * 6).alias("indices"))
+
+
 def indices(q: DataFrame) -> DataFrame:
     """chunk_id, position, vertex_id: two triangles a quad."""
     out = q.select("chunk_id", "quad", F.posexplode(F.array(*map(F.lit, (0, 1, 2, 0, 2, 3)))).alias("k", "i"))
@@ -194,3 +199,17 @@ def to_glb(files: DataFrame, pack: bool = False, key: str = "name") -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], names=[key, "glb"])
 
     return files.select(F.col(key).cast("string").alias(key), "content").mapInArrow(run, f"{key} string, glb binary")
+
+
+def glb_parts(glb: DataFrame, key: str = "name") -> DataFrame:
+    """key, version, json, bin_bytes and whole (the header's length is the content's) of (key, glb) rows, in the JVM."""
+
+    def number(at):
+        byte = lambda k: F.conv(F.hex(F.substring(F.col("glb"), at + k + 1, F.lit(1))), 16, 10).cast("long")
+        return byte(0) + byte(1) * (1 << 8) + byte(2) * (1 << 16) + byte(3) * (1 << 24)
+
+    size = F.octet_length("glb").cast("long")
+    sized = glb.select(key, "glb", number(F.lit(4)).cast("int").alias("version"), number(F.lit(12)).cast("int").alias("n"), (number(F.lit(8)) == size).alias("whole"), size.alias("size"))
+    text = F.decode(F.substring(F.col("glb"), F.lit(21), F.col("n")), "UTF-8")
+    rest = F.when(F.col("size") > 20 + F.col("n"), number(F.col("n") + 20)).otherwise(0)
+    return sized.select(key, "version", F.rtrim(text).alias("json"), rest.alias("bin_bytes"), "whole")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chunkyard.model import PACK_MAGIC, VERSION
 from chunkyard.operators.codec import build_file, parse_header
@@ -113,6 +114,11 @@ class _Reader:
         self.at += n
         return self.data[self.at - n : self.at]
 
+    def skip(self, n: int) -> None:
+        if self.at + n > len(self.data):
+            raise ValueError("the pack ends too early")
+        self.at += n
+
     def number(self, size: int) -> int:
         return int.from_bytes(self.take(size), "little")
 
@@ -120,8 +126,8 @@ class _Reader:
         return list(struct.unpack(f"<{n}I", self.take(4 * n)))
 
 
-def read_pack(data: bytes) -> tuple[tuple[int, int, int, int, int], list[tuple[str, int, bytes]]]:
-    """The common header and the entries. Counts are never trusted beyond the bytes that are there."""
+def _open(data: bytes) -> tuple[tuple[int, int, int, int, int], int, _Reader]:
+    """The common header, the layout, and a reader of what follows."""
     if len(data) < 10 or data[:8] != PACK_MAGIC:
         raise ValueError("not a pack")
     version, codec, body = data[8], data[9], data[10:]
@@ -135,12 +141,24 @@ def read_pack(data: bytes) -> tuple[tuple[int, int, int, int, int], list[tuple[s
         raise ValueError(f"unknown codec {codec}")
     r = _Reader(body)
     _, *head = struct.unpack("<BBBBBH", r.take(7))
-    layout = r.number(1) if version > 1 else RAW
+    return tuple(head), r.number(1) if version > 1 else RAW, r
+
+
+def read_pack(data: bytes, names: set[str] | None = None) -> tuple[tuple[int, int, int, int, int], list[tuple[str, int, bytes]]]:
+    """The common header and the entries. names: payloads of others are passed over, and come as empty. Counts are never
+    trusted beyond the bytes that are there."""
+    head, layout, r = _open(data)
+    wanted = lambda name: names is None or base_name(name) in names
     entries = []
     if layout == RAW:
         for _ in range(r.number(4)):
             name, enc = r.take(r.number(2)).decode("utf-8", "replace"), r.number(1)
-            entries.append((name, enc, r.take(r.number(4))))
+            size = r.number(4)
+            if wanted(name):
+                entries.append((name, enc, r.take(size)))
+            else:
+                r.skip(size)
+                entries.append((name, enc, b""))
     elif layout == CDC:
         _, _, most = r.numbers(3)
         blocks = [r.take(r.number(4)) for _ in range(r.number(4))]
@@ -149,13 +167,30 @@ def read_pack(data: bytes) -> tuple[tuple[int, int, int, int, int], list[tuple[s
             refs = r.numbers(r.number(4))
             if any(k >= len(blocks) for k in refs):
                 raise ValueError("a block number beyond the dictionary")
-            payload = b"".join(blocks[k] for k in refs)
+            payload = b"".join(blocks[k] for k in refs) if wanted(name) else b""
             if len(payload) > size + most:
                 raise ValueError("an entry's blocks are longer than it")
             entries.append((name, enc, payload[:size]))
     else:
         raise ValueError(f"unknown layout {layout}")
-    return tuple(head), entries
+    return head, entries
+
+
+def read_directory(data: bytes) -> list[tuple[str, int, int]]:
+    """Name, encoding and payload bytes of each entry; payloads and blocks are passed over."""
+    _, layout, r = _open(data)
+    out = []
+    if layout == CDC:
+        r.numbers(3)
+        for _ in range(r.number(4)):
+            r.skip(r.number(4))
+    elif layout != RAW:
+        raise ValueError(f"unknown layout {layout}")
+    for _ in range(r.number(4)):
+        name, enc, size = r.take(r.number(2)).decode("utf-8", "replace"), r.number(1), r.number(4)
+        r.skip(4 * r.number(4) if layout == CDC else size)
+        out.append((name, enc, size))
+    return out
 
 
 def base_name(name: str) -> str:
@@ -200,11 +235,68 @@ def read_packs(packs: DataFrame) -> DataFrame:
     return packs.select(F.col("pack").cast("string").alias("pack"), "content").mapInArrow(run, "pack string, ord int, name string, enc int, payload binary, content binary")
 
 
-def last_by_name(entries: DataFrame) -> DataFrame:
-    """Of entries with one name in a pack, the last."""
-    return entries.groupBy("pack", "name").agg(F.max_by("content", "ord").alias("content"))
+def directory(packs: DataFrame) -> DataFrame:
+    """pack, ord, name, enc, bytes of every entry of packs given as (pack, content); no payload leaves the task."""
+
+    def run(batches):
+        for b in batches:
+            for pack, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = [(pack, i, base_name(n), e, size) for i, (n, e, size) in enumerate(read_directory(data.as_py()))]
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["pack", "ord", "name", "enc", "bytes"])
+
+    return packs.select(F.col("pack").cast("string").alias("pack"), "content").mapInArrow(run, "pack string, ord int, name string, enc int, bytes long")
+
+
+def entries_by_name(packs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """pack, name, content of the entries named in wanted (pack, name); of several with one name in a pack, the last.
+    Payloads of others are passed over."""
+    names = wanted.groupBy(F.col("pack").cast("string").alias("pack")).agg(F.collect_set("name").alias("names"))
+
+    def run(batches):
+        for b in batches:
+            for pack, data, names in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                (bpp, w, h, d, pal), entries = read_pack(data.as_py(), set(names))
+                last = {base_name(n): (e, p) for n, e, p in entries if base_name(n) in names}
+                rows = [(pack, n, build_file(e, p, bpp, (w, h, d), pal)) for n, (e, p) in last.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["pack", "name", "content"])
+
+    found = packs.select(F.col("pack").cast("string").alias("pack"), "content").join(names, "pack")
+    return found.mapInArrow(run, "pack string, name string, content binary")
+
+
+def listing(packs: DataFrame) -> DataFrame:
+    """Names of packs given as (pack, content), in order."""
+    return directory(packs).select("pack", "name").orderBy("pack", "name")
+
+
+def cut_blocks(files: DataFrame) -> DataFrame:
+    """pack, ord, name, pos, block: the content-defined blocks of files given as (pack, ord, name, content)."""
+
+    def run(batches):
+        for b in batches:
+            for pack, ord_, name, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                payload = data[16:]
+                ends = cut_points(payload)
+                blocks = [payload[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)] if payload else []
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array([pack] * n, pa.string()), pa.array([ord_] * n, pa.int64()), pa.array([base_name(name)] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], names=["pack", "ord", "name", "pos", "block"])
+
+    return files.select(F.col("pack").cast("string").alias("pack"), F.col("ord").cast("long").alias("ord"), "name", "content").mapInArrow(run, "pack string, ord long, name string, pos int, block binary")
+
+
+def blocks_of(cut: DataFrame) -> DataFrame:
+    """pack, number, block: each pack's distinct blocks, numbered by first use from 0."""
+    first = cut.groupBy("pack", "block").agg(F.min(F.struct("ord", "name", "pos")).alias("at"))
+    return first.select("pack", (F.row_number().over(Window.partitionBy("pack").orderBy("at")) - 1).alias("number"), "block")
+
+
+def refs_of(cut: DataFrame, blocks: DataFrame) -> DataFrame:
+    """pack, ord, name, pos, number: which block of the pack stands at each place of each entry."""
+    return cut.join(blocks, ["pack", "block"]).select("pack", "ord", "name", "pos", "number")
 
 
-def listing(entries: DataFrame) -> DataFrame:
-    """Names in order; payloads aren't looked at."""
-    return entries.select("pack", "name").orderBy("pack", "name")
+def expand_refs(refs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """pack, ord, name, payload: the entries put together from their blocks. An entry has few blocks."""
+    parts = refs.join(blocks, ["pack", "number"]).groupBy("pack", "ord", "name").agg(F.sort_array(F.collect_list(F.struct("pos", "block"))).alias("b"))
+    return parts.select("pack", "ord", "name", F.unhex(F.concat_ws("", F.transform("b", lambda x: F.hex(x.block)))).alias("payload"))

@@ -9,18 +9,21 @@ from chunkyard.functions.index import update_index
 from chunkyard.model import CELLS
 
 UPDATES = "map<string,map<string,int>>"
-LAYERS = "struct<id: string, name: string, layers: array<array<string>>>"
 
 
 def parse_updates(docs: DataFrame, column: str = "json", first_only: bool = False) -> DataFrame:
     """docs's other columns and chunk (string), idx, color of each write in {chunk: {index: color}}. What isn't such a
     map is an error, and so is an index that isn't a number. Indices beyond the chunk are dropped, colors held to
-    0..255. first_only: the least chunk of each text. Of texts for one index the greatest color counts."""
+    0..255. first_only: the least chunk of each text. Of texts for one index the greatest color counts, within a text and
+    between texts whose other columns are equal: give texts a column that tells them apart if they are to stay apart."""
     rest = [c for c in docs.columns if c != column]
     m = F.from_json(F.col(column), UPDATES)
-    chunks = docs.select(*rest, F.explode(F.when(m.isNull(), F.raise_error(F.lit("not an updates map")).cast(UPDATES)).otherwise(m)).alias("chunk", "cells"))
+    m = F.when(m.isNull(), F.raise_error(F.lit("not an updates map")).cast(UPDATES)).otherwise(m)
     if first_only:
-        chunks = chunks.groupBy(*rest).agg(F.min_by(F.struct("chunk", "cells"), "chunk").alias("c")).select(*rest, "c.*")
+        docs = docs.withColumn(column, m)
+        least = F.array_min(F.map_keys(F.col(column)))
+        m = F.map_filter(F.col(column), lambda k, _: k == least)
+    chunks = docs.select(*rest, F.explode(m).alias("chunk", "cells"))
     cells = chunks.select(*rest, "chunk", F.explode("cells").alias("k", "color"))
     idx = F.when(F.col("k").rlike(r"^\s*[+-]?\d+"), F.regexp_extract("k", r"^\s*([+-]?\d+)", 1).cast("long")).otherwise(F.raise_error(F.concat(F.lit("not an index: "), F.col("k"))).cast("long"))
     color = F.when(F.col("color").isNull(), F.raise_error(F.lit("a color is missing")).cast("int")).otherwise(F.greatest(F.least("color", F.lit(255)), F.lit(0)))

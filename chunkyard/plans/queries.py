@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chunkyard.functions import index, varint
 from chunkyard.functions.colors import css_hex, hex_rgba
 from chunkyard.model import PALETTE, palette
 from chunkyard.operators import codec, generate, grids, mesh, packs, texts
-from chunkyard.plans.fixtures import VIEWS, ev, ev_log, li, li_log, table
-from chunkyard.sources.files import base_name, kind
+from chunkyard.plans.fixtures import ORDERS, VIEWS, ev, ev_log, li, li_log, table
+from chunkyard.sources.files import PACKS, base_name, example_by_id, example_list, kind, read_examples, read_files, shared_folder, unpack_files, write_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,6 +74,18 @@ def morton_rank_compat(spark, d):
     return ev(spark, d).select("chunk_id", "idx", index.swapped_rank(*map(F.col, "xyz")).cast("int").alias("rank"))
 
 
+@query("SELECT chunk_id, idx, x, y, z FROM ev")
+def morton_rank_back(spark, d):
+    ranks = ev(spark, d).select("chunk_id", "idx", index.swapped_rank(*map(F.col, "xyz")).alias("rank"))
+    return ranks.select("chunk_id", "idx", *(c.cast("int").alias(n) for n, c in zip("xyz", index.from_swapped_rank(F.col("rank")), strict=True)))
+
+
+@query(f"SELECT chunk_id, idx, row_number() OVER (PARTITION BY chunk_id ORDER BY {RANK}) - 1 AS pos FROM li")
+def morton_order(spark, d):
+    laid = grids.in_stream_order(li(spark, d))  # ranges of chunks, so a chunk lies in one partition
+    return laid.withColumn("pos", F.row_number().over(Window.partitionBy("chunk_id").orderBy("rank")) - 1).select("chunk_id", "idx", F.col("pos").cast("long").alias("pos"))
+
+
 _BITS = lambda v, k: " + ".join(f"((({v} >> {i}) & 1) << {3 * i + k})" for i in range(21))
 
 
@@ -110,6 +123,25 @@ def color_histogram(spark, d):
     return li(spark, d).groupBy("chunk_id", "color").agg(F.count("*").alias("n"))
 
 
+@query("SELECT chunk_id, idx, x, y, z, color FROM li WHERE chunk_id NOT IN (SELECT chunk_id FROM ev)")
+def clear_chunks(spark, d):
+    return grids.cleared(li(spark, d), ev(spark, d))
+
+
+@query("SELECT chunk_id, idx, x, y, z, color FROM li WHERE color > 30")
+def clear_by_writes(spark, d):
+    v = li(spark, d)
+    return grids.apply_log(grids.clearing(v.where("color <= 30")), F.lit(0), v)
+
+
+@query(", e AS (SELECT chunk_id, idx, color FROM ev UNION ALL SELECT 1, 4095, 9), l AS (SELECT chunk_id, idx, color FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, idx ORDER BY color = 9 AND idx = 4095 AND chunk_id = 1 DESC) AS rn FROM e) WHERE rn = 1) SELECT chunk_id, idx, idx & 15 AS x, (idx >> 4) & 15 AS y, idx >> 8 AS z, color FROM l WHERE NOT (chunk_id = 0 AND idx = (SELECT min(idx) FROM ev WHERE chunk_id = 0))")
+def single_edits(spark, d):
+    v = ev(spark, d)
+    gone = v.where("chunk_id = 0").agg(F.min("idx")).first()[0]
+    v = grids.set_voxel(grids.set_voxel(v, 1, 15, 15, 15, 9), 1, 16, 0, 0, 9)  # the second lies beyond the chunk
+    return grids.set_voxel(v, 0, gone & 15, gone >> 4 & 15, gone >> 8, 0)
+
+
 @query(f", p(color, hex) AS (VALUES {_PALETTE}) SELECT color, hex, count(*) AS n FROM li JOIN p USING (color) GROUP BY color, hex")
 def palette_join(spark, d):
     counts = li(spark, d).groupBy("color").agg(F.count("*").alias("n"))
@@ -149,21 +181,61 @@ def quad_color_area(spark, d):
     return mesh.quads(li(spark, d)).groupBy("chunk_id", "color").agg(F.sum(F.col("w") * F.col("h")).alias("area"))
 
 
-@query()
+_RECTANGLES = """, dirs2(dir, axis) AS (VALUES (0,0),(1,0),(2,1),(3,1),(4,2),(5,2)),
+flat AS (SELECT chunk_id, dir, CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS slice, CASE axis WHEN 0 THEN y ELSE x END AS fu, CASE axis WHEN 2 THEN y ELSE z END AS fv, color FROM faces JOIN dirs2 USING (dir)),
+slices AS (SELECT DISTINCT chunk_id, dir, slice FROM flat),
+start AS (SELECT s.chunk_id, s.dir, s.slice, list(CAST(coalesce(f.color, 0) AS INT) ORDER BY i) AS g FROM slices s CROSS JOIN range(256) t(i)
+  LEFT JOIN flat f ON f.chunk_id = s.chunk_id AND f.dir = s.dir AND f.slice = s.slice AND f.fu = i // 16 AND f.fv = i % 16 GROUP BY ALL),
+rects(chunk_id, dir, slice, g, n, u, v, w, h, color) AS (
+  SELECT chunk_id, dir, slice, g, 0, 0, 0, 0, 0, 0 FROM start
+  UNION ALL
+  SELECT chunk_id, dir, slice, list_transform(range(256), lambda i: CASE WHEN i // 16 >= u AND i // 16 < u + h AND i % 16 >= v AND i % 16 < v + w THEN 0 ELSE g[i + 1] END), n + 1, u, v, w, h, color
+  FROM (SELECT *, coalesce(list_position(list_transform(range(u, 16), lambda r: len(list_filter(g[r * 16 + v + 1 : r * 16 + v + w], lambda x: x <> color)) = 0), false) - 1, 16 - u) AS h
+    FROM (SELECT *, coalesce(list_position(list_transform(g[u * 16 + v + 1 : u * 16 + 16], lambda x: x = color), false) - 1, 16 - v) AS w
+      FROM (SELECT chunk_id, dir, slice, g, n, (p - 1) // 16 AS u, (p - 1) % 16 AS v, g[p] AS color
+        FROM (SELECT *, list_position(list_transform(g, lambda x: x <> 0), true) AS p FROM rects) WHERE p IS NOT NULL)))),
+quads AS (SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY dir, slice, n) - 1 AS INT) AS quad, dir, CAST(slice AS INT) AS slice, CAST(u AS INT) AS u, CAST(v AS INT) AS v, CAST(w AS INT) AS w, CAST(h AS INT) AS h, color FROM rects WHERE n > 0)"""
+#: The rectangles of ev's faces as SQL, cell by cell; `quads` has mesh_quads' rows.
+_QUADS = f"WITH RECURSIVE {VIEWS}{_FACES.replace('FROM li ', 'FROM ev ')}{_RECTANGLES}"
+_VERTICES = """, corners(k, du, dv) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)), normals(dir, nx, ny, nz, turned) AS (VALUES (0,1,0,0,false), (1,-1,0,0,true), (2,0,1,0,true), (3,0,-1,0,false), (4,0,0,1,false), (5,0,0,-1,true)),
+vertices AS (SELECT chunk_id, CAST(quad * 4 + k AS BIGINT) AS vertex_id,
+  CASE WHEN dir < 2 THEN slice + (dir = 0)::INT ELSE u + (CASE WHEN turned THEN dv ELSE du END) * h END::FLOAT AS px,
+  CASE WHEN dir < 2 THEN u + (CASE WHEN turned THEN dv ELSE du END) * h WHEN dir < 4 THEN slice + (dir = 2)::INT ELSE v + (CASE WHEN turned THEN du ELSE dv END) * w END::FLOAT AS py,
+  CASE WHEN dir < 4 THEN v + (CASE WHEN turned THEN du ELSE dv END) * w ELSE slice + (dir = 4)::INT END::FLOAT AS pz,
+  nx::FLOAT AS nx, ny::FLOAT AS ny, nz::FLOAT AS nz, color FROM quads JOIN normals USING (dir), corners)"""
+
+
+@query(f"{_QUADS} SELECT * FROM quads")
 def mesh_quads(spark, d):
     return mesh.quads(ev(spark, d))
 
 
-@query()
+@query(f"{_QUADS}{_VERTICES} SELECT * FROM vertices")
 def mesh_vertices(spark, d):
     return mesh.vertices(mesh.quads(ev(spark, d)))
 
 
-@query()
+_RGBA = ", ".join(f"CAST(('0x' || substr(hex, {i}, 2))::INT / 255.0 AS FLOAT) AS {c}" for c, i in zip("rgb", (2, 4, 6), strict=True))
+
+
+@query(f"{_QUADS}{_VERTICES}, p(color, hex) AS (VALUES {_PALETTE}) SELECT chunk_id, vertex_id, {_RGBA}, 1::FLOAT AS a FROM vertices JOIN p USING (color)")
+def mesh_vertex_colors(spark, d):
+    return mesh.colored(mesh.vertices(mesh.quads(ev(spark, d)))).select("chunk_id", "vertex_id", "r", "g", "b", "a")
+
+
+@query(f"{_QUADS} SELECT q.chunk_id, CAST(q.quad * 6 + i AS BIGINT) AS position, CAST(q.quad * 4 + CASE i WHEN 3 THEN 0 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE i END AS BIGINT) AS vertex_id FROM quads q, range(6) t(i)")
+def mesh_indices(spark, d):
+    return mesh.indices(mesh.quads(ev(spark, d)))
+
+
+@query(f"{_QUADS} SELECT chunk_id, 4 * count(*) AS vertices, 6 * count(*) AS indices FROM quads GROUP BY chunk_id")
+def mesh_counts(spark, d):
+    return mesh.mesh_counts(mesh.quads(ev(spark, d)))
+
+
+@query(f"{_QUADS.replace('FROM ev ', 'FROM li ')} SELECT chunk_id, 4 * count(*) AS vertices, 6 * count(*) AS indices FROM quads GROUP BY chunk_id")
 def mesh_vertex_counts(spark, d):
-    q = mesh.quads(li(spark, d))
-    v = mesh.vertices(q).groupBy("chunk_id").agg(F.count("*").alias("vertices"))
-    return v.join(mesh.indices(q).groupBy("chunk_id").agg(F.count("*").alias("indices")), "chunk_id")
+    return mesh.mesh_counts(mesh.quads(li(spark, d)))
 
 
 @query(", i AS (SELECT *, x - row_number() OVER (PARTITION BY chunk_id, y, z, color ORDER BY x) AS island FROM li) SELECT chunk_id, y, z, color, min(x) AS x0, count(*) AS length FROM i GROUP BY chunk_id, y, z, color, island")
@@ -171,10 +243,10 @@ def slice_runs(spark, d):
     return grids.runs(li(spark, d))
 
 
-@query("SELECT DISTINCT 'chunk' || chunk_id AS name, CAST(dense_rank() OVER (ORDER BY 'chunk' || chunk_id) - 1 AS INT) AS ord, CAST((dense_rank() OVER (ORDER BY 'chunk' || chunk_id) - 1) % 8 * 16 AS INT) AS x, CAST((dense_rank() OVER (ORDER BY 'chunk' || chunk_id) - 1) // 8 * 16 AS INT) AS z FROM li")
+@query(", e AS (SELECT DISTINCT chunk_id // 16 AS pack, 'chunk' || chunk_id AS name FROM li), o AS (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY name) - 1 AS ord, CAST(ceil(sqrt(count(*) OVER (PARTITION BY pack))) AS INT) AS cols FROM e) SELECT pack, name, CAST(ord AS INT) AS ord, CAST(ord % cols * 16 AS INT) AS x, CAST(ord // cols * 16 AS INT) AS z FROM o")
 def pack_layout(spark, d):
-    names = li(spark, d).select(F.concat(F.lit("chunk"), F.col("chunk_id").cast("string")).alias("name")).distinct()
-    return grids.pack_positions(names, 64)
+    names = li(spark, d).select(F.expr("chunk_id div 16").alias("pack"), F.concat(F.lit("chunk"), F.col("chunk_id").cast("string")).alias("name")).distinct()
+    return grids.pack_positions(names)
 
 
 _SIZES = ", n AS (SELECT chunk_id, count(*) AS n FROM li GROUP BY chunk_id), s AS (SELECT chunk_id, n, CAST(3072 AS BIGINT) AS dense, (16 + n * 18 + 7) // 8 AS sparse, 512 + (n * 6 + 7) // 8 AS bitmap FROM n)"
@@ -226,7 +298,7 @@ for _name, _enc in (("dense_roundtrip", 0), ("sparse_roundtrip", 1), ("bitmap_ro
 
 def _files(spark, d):
     made = codec.encode_chunks(li(spark, d), deflate=False)
-    return made.select((F.col("chunk_id") % 4).cast("string").alias("pack"), F.col("chunk_id").alias("ord"), F.concat(F.lit("some/folder/"), F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "content")
+    return made.select(F.expr("chunk_id div 16").cast("string").alias("pack"), F.col("chunk_id").alias("ord"), F.concat(F.lit("some/folder/"), F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "content")
 
 
 def _unpacked(entries):
@@ -242,21 +314,60 @@ for _name, _layout, _codec in (("pack_roundtrip", packs.RAW, packs.ZLIB), ("pack
     query(_LI_LONG)(_f)
 
 
-@query("SELECT DISTINCT CAST(chunk_id % 4 AS VARCHAR) AS pack, chunk_id || '.vopl' AS name FROM li")
+@query("SELECT DISTINCT CAST(chunk_id // 16 AS VARCHAR) AS pack, chunk_id || '.vopl' AS name FROM li")
 def pack_listing(spark, d):
-    return packs.listing(packs.read_packs(packs.make_packs(_files(spark, d))))
+    return packs.listing(packs.make_packs(_files(spark, d)))
+
+
+@query(f"{_SIZES} SELECT CAST(chunk_id // 16 AS VARCHAR) AS pack, CAST(row_number() OVER (PARTITION BY chunk_id // 16 ORDER BY chunk_id) - 1 AS INT) AS ord, chunk_id || '.vopl' AS name, CASE WHEN dense <= sparse AND dense <= bitmap THEN 0 WHEN sparse <= bitmap THEN 1 ELSE 3 END AS enc, least(dense, sparse, bitmap) AS bytes FROM s")
+def pack_directory(spark, d):
+    return packs.directory(packs.make_packs(_files(spark, d), packs.CDC, packs.ZLIB))
+
+
+@query(f"{_SIZES} SELECT CAST(chunk_id // 16 AS VARCHAR) AS pack, chunk_id AS ord, chunk_id || '.vopl' AS name, least(dense, sparse, bitmap) AS bytes FROM s")
+def cdc_relations(spark, d):
+    cut = packs.cut_blocks(_files(spark, d))
+    blocks = packs.blocks_of(cut)
+    whole = packs.expand_refs(packs.refs_of(cut, blocks), blocks)
+    files = _files(spark, d).select("pack", "ord", F.substring("content", 17, 1 << 20).alias("before"))
+    same = whole.join(files, ["pack", "ord"]).where(F.col("payload") == F.col("before"))
+    return same.select("pack", "ord", "name", F.octet_length("payload").cast("long").alias("bytes"))
 
 
-@query(f"{_SIZES} SELECT CAST(chunk_id % 4 AS VARCHAR) AS pack, count(*) AS entries, CAST(sum(least(dense, sparse, bitmap)) AS BIGINT) AS bytes FROM s GROUP BY 1")
+@query(_LI_LONG)
+def unpacked_files(spark, d):
+    folder = shared_folder(spark)
+    unpack_files(packs.make_packs(_files(spark, d)), folder)
+    files = read_files(spark, folder)
+    return codec.decode_files(files.select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("chunk_id"), "content"))
+
+
+@query(_LI_LONG)
+def chunk_files(spark, d):
+    folder = shared_folder(spark)
+    write_files(codec.encode_chunks(li(spark, d)).select(F.concat(F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "content"), folder)
+    files = read_files(spark, folder)
+    return codec.decode_files(files.select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("chunk_id"), "content"))
+
+
+@query("SELECT DISTINCT CAST(chunk_id // 16 AS VARCHAR) AS pack, chunk_id || '.vopl' AS name FROM li")
+def pack_files(spark, d):
+    folder = shared_folder(spark)
+    write_files(packs.make_packs(_files(spark, d)).select(F.concat("pack", F.lit(".voplpack")).alias("name"), "content"), folder)
+    return packs.directory(read_files(spark, folder, PACKS).select(F.regexp_extract("name", r"^(\d+)", 1).alias("pack"), "content")).select("pack", "name")
+
+
+@query(f"{_SIZES} SELECT CAST(chunk_id // 16 AS VARCHAR) AS pack, count(*) AS entries, CAST(sum(least(dense, sparse, bitmap)) AS BIGINT) AS bytes FROM s GROUP BY 1")
 def pack_totals(spark, d):
     e = packs.read_packs(packs.make_packs(_files(spark, d)))
     return e.groupBy("pack").agg(F.count("*").alias("entries"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
 
 
-@query(f"{_SIZES} SELECT CAST(chunk_id % 4 AS VARCHAR) AS pack, max(CASE WHEN false THEN '' ELSE chunk_id || '.vopl' END) AS name, CAST(16 + max_by(least(dense, sparse, bitmap), chunk_id || '.vopl') AS BIGINT) AS bytes FROM s GROUP BY 1")
+@query(f"{_SIZES} SELECT CAST(chunk_id // 16 AS VARCHAR) AS pack, max(CASE WHEN false THEN '' ELSE chunk_id || '.vopl' END) AS name, CAST(16 + max_by(least(dense, sparse, bitmap), chunk_id || '.vopl') AS BIGINT) AS bytes FROM s GROUP BY 1")
 def entry_by_name(spark, d):
-    e = packs.last_by_name(packs.read_packs(packs.make_packs(_files(spark, d))))
-    return e.groupBy("pack").agg(F.max("name").alias("name"), F.max_by(F.octet_length("content").cast("long"), "name").alias("bytes"))
+    made = packs.make_packs(_files(spark, d))
+    wanted = packs.directory(made).groupBy("pack").agg(F.max("name").alias("name"))
+    return packs.entries_by_name(made, wanted).select("pack", "name", F.octet_length("content").cast("long").alias("bytes"))
 
 
 @query(f"{_SIZES} SELECT chunk_id || '.vopl' AS name, 'VOPL' AS magic, 3 AS ver, CASE WHEN dense <= sparse AND dense <= bitmap THEN 0 WHEN sparse <= bitmap THEN 1 ELSE 3 END AS enc, 6 AS bpp, 16 AS w, 16 AS h, 16 AS d, 64 AS pal, least(dense, sparse, bitmap) AS plen, 16 + least(dense, sparse, bitmap) AS bytes FROM s")
@@ -277,11 +388,23 @@ def updates_json_roundtrip(spark, d):
     return grids.with_position(cells.select(F.col("chunk").cast("long").alias("chunk_id"), "idx", "color"))
 
 
-@query(", j AS (SELECT chunk_id, idx, color FROM ev) SELECT CAST(chunk_id AS VARCHAR) AS chunk, idx, color FROM j WHERE chunk_id = (SELECT min_by(chunk_id, CAST(chunk_id AS VARCHAR)) FROM ev)")
+@query(", g AS (SELECT chunk_id // 4 AS id, min(CAST(chunk_id AS VARCHAR)) AS chunk FROM ev GROUP BY 1) SELECT id, chunk, idx, color FROM ev JOIN g ON CAST(chunk_id AS VARCHAR) = chunk AND chunk_id // 4 = id")
 def updates_json_first_chunk(spark, d):
     one = ev(spark, d).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("string"), "color"))).alias("m"))
-    whole = one.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("chunk_id").cast("string"), "m")))).alias("json"))  # 16 chunks: one text
-    return texts.parse_updates(whole, first_only=True)
+    each = one.groupBy(F.expr("chunk_id div 4").alias("id")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("chunk_id").cast("string"), "m")))).alias("json"))
+    return texts.parse_updates(each, first_only=True)
+
+
+@query("SELECT CAST(chunk_id AS VARCHAR) AS chunk, idx, color FROM ev")
+def updates_json_lenient(spark, d):
+    return texts.parse_updates_lenient(texts.write_updates(ev(spark, d)).select("json"))
+
+
+@query("SELECT chunk_id, idx, x, y, z, color FROM ev")
+def json_to_chunks(spark, d):
+    log = texts.parse_updates(texts.write_updates(ev(spark, d)).select("json"))
+    made = codec.encode_chunks(grids.apply_log(log.select(F.col("chunk").cast("long").alias("chunk_id"), "idx", "color"), F.lit(0)))
+    return codec.decode_files(made)
 
 
 @query("WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) SELECT CAST(event_id AS VARCHAR) AS chunk, CAST(abs(k) % 5000 AS INT) AS idx, CAST(least(k % 300, 255) AS INT) AS color FROM e WHERE abs(k) % 5000 < 4096")
@@ -309,14 +432,28 @@ def gen_stripes(spark, d):
     return generate.stripes(_grid(spark)).select("idx", "color")
 
 
-@query(f"WITH {_GRID} SELECT idx FROM g WHERE y < 2 AND least(x, 15 - x, z, 15 - z) IN (1, 2)")
+def _noise_sql(scale: tuple[str, str, str], seed: float, octaves: int) -> str:
+    """Octaves of value noise at x, y, z: the corners' values, blended by smoothed distances."""
+    total = []
+    for o in range(octaves):
+        at = [f"({c} * {s} * {2**o})" for c, s in zip("xyz", scale, strict=True)]
+        t = [f"({a} - floor({a}))" for a in at]
+        smooth = [f"({v} * {v} * (3 - 2 * {v}))" for v in t]
+        for corner in ((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)):
+            dot = " + ".join(f"(floor({a}) + {c}) * {m}" for a, c, m in zip(at, corner, ("127.1::DOUBLE", "311.7::DOUBLE", "74.7::DOUBLE"), strict=True))
+            h = f"(sin({dot} + {seed + 13.37 * o}::DOUBLE) * 43758.5453::DOUBLE)"
+            total.append(f"({h} - floor({h})) * " + " * ".join(w if c else f"(1 - {w})" for w, c in zip(smooth, corner, strict=True)) + f" * {0.5 ** (o + 1)}")
+    return " + ".join(total)
+
+
+@query(f"WITH {_GRID}, n AS (SELECT *, {_noise_sql(('0.35::DOUBLE', '0.35::DOUBLE', '0.35::DOUBLE'), 5.0, 2)} AS n FROM g WHERE y < 2 AND least(x, 15 - x, z, 15 - z) IN (1, 2)) SELECT idx, CAST((floor(n * 63) % 63 + 63) % 63 + 1 AS INT) AS color FROM n")
 def gen_contour(spark, d):
-    return generate.contour(_grid(spark), 5.0).select("idx")
+    return generate.contour(_grid(spark), 5.0).select("idx", "color")
 
 
-@query(f"WITH {_GRID} SELECT y, count(*) AS n FROM g WHERE y >= 10 GROUP BY y")
+@query(f"WITH {_GRID}, n AS (SELECT *, {_noise_sql(('0.35::DOUBLE', '0.55::DOUBLE', '0.35::DOUBLE'), 5.0, 3)} AS n FROM g) SELECT idx, CAST((floor(n * 997 + x * 17 + y * 31 + z * 13) % 63 + 63) % 63 + 1 AS INT) AS color FROM n WHERE n > 0.58::DOUBLE - y * 0.06::DOUBLE")
 def gen_terrain(spark, d):
-    return generate.terrain(_grid(spark), 5.0).where("y >= 10 and color between 1 and 63").groupBy("y").agg(F.count("*").alias("n"))
+    return generate.terrain(_grid(spark), 5.0).select("idx", "color")
 
 
 @query("SELECT CAST(i AS BIGINT) AS chunk_id, 4096 AS n FROM range(3) t(i)")
@@ -329,6 +466,18 @@ def noise_counts(spark, d):
     return generate.noise(spark, 8, 25.0, seed=3).where("color between 1 and 63").groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_distinct("idx").alias("cells"))
 
 
+@query("SELECT i || '.vopl' AS name, true AS in_range, true AS distinct_cells FROM range(24) t(i)", views=False)
+def noise_files(spark, d):
+    """Chunks with 40 down to 10 % of random cells as files, read again."""
+    folder = shared_folder(spark)
+    made = codec.encode_chunks(generate.noise(spark, 24, 40.0, 10.0, seed=7))
+    write_files(made.select(F.concat(F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "content"), folder)
+    cells = codec.decode_files(read_files(spark, folder).select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("chunk_id"), "content"))
+    n = F.count("*")
+    out = cells.groupBy("chunk_id").agg(n.between(generate.wanted(10), generate.wanted(40)).alias("in_range"), (n == F.count_distinct("idx")).alias("distinct_cells"))
+    return out.select(F.concat(F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "in_range", "distinct_cells")
+
+
 _ROW = "CASE n_nationkey % 3 WHEN 0 THEN '0,1, 2,x,70,-3,63' WHEN 1 THEN '12345' ELSE '9 8  7' END"
 
 
@@ -340,6 +489,26 @@ def layers_decode(spark, d):
     return texts.decode_layers(e)
 
 
+def _examples(spark, d):
+    """nation as a file of layered examples; written by a task, read by Spark's JSON source."""
+    folder = shared_folder(spark)
+    digits = F.concat(F.lit("0"), F.col("n_nationkey").cast("string"))
+    one = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.array(F.array(digits, F.lit("7 8"))).alias("layers"))
+    rows = table(spark, d, "nation").agg(F.to_json(F.struct(F.sort_array(F.collect_list(one)).alias("examples"))).cast("binary").alias("content"))  # one file holds them all
+    write_files(rows.select(F.lit("examples.json").alias("name"), "content"), folder)
+    return read_examples(spark, f"file://{folder}/examples.json")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation", views=False)
+def examples_list(spark, d):
+    return example_list(_examples(spark, d))
+
+
+@query("SELECT '7' AS id, CAST(1 + 16 * 0 + 256 * 0 AS INT) AS idx, 7 AS color UNION ALL SELECT '7', 256, 7 UNION ALL SELECT '7', 257, 8", views=False)
+def example_cells(spark, d):
+    return texts.decode_layers(example_by_id(_examples(spark, d), "7")).select("id", "idx", "color")
+
+
 @query("SELECT chunk_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, count(*) AS n FROM li GROUP BY chunk_id")
 def bounding_box(spark, d):
     sides = [f(c).alias(f"{c}{k}") for c in "xyz" for k, f in enumerate((F.min, F.max))]
@@ -370,16 +539,23 @@ def placement(spark, d):
     return li(spark, d).select("chunk_id", "idx", *(c.alias(n) for n, c in zip(("px", "py", "pz"), at, strict=True)))
 
 
-@query()
+@query(f"{_QUADS} SELECT CAST(chunk_id AS VARCHAR) AS name, 2 AS version, 4 * count(*) AS vertices, 6 * count(*) AS indices, 184 * count(*) AS bin_bytes, true AS whole, 'ChunkMesh' AS mesh, 'OPAQUE' AS alpha FROM quads GROUP BY chunk_id")
 def glb_sizes(spark, d):
+    """Four vertices of position, normal and colour (40 bytes) and six indices of 4 bytes a rectangle."""
     files = codec.encode_chunks(ev(spark, d)).select(F.col("chunk_id").cast("string").alias("name"), "content")
-    return mesh.to_glb(files).select("name", F.octet_length("glb").alias("bytes"))
+    parts = mesh.glb_parts(mesh.to_glb(files))
+    field = lambda path, kind="string": F.get_json_object("json", path).cast(kind)
+    return parts.select("name", "version", field("$.accessors[0].count", "long").alias("vertices"), field("$.accessors[3].count", "long").alias("indices"), "bin_bytes", "whole", field("$.meshes[0].name").alias("mesh"), field("$.materials[0].alphaMode").alias("alpha"))
 
 
-@query()
+@query(f"{_QUADS}, n AS (SELECT chunk_id // 16 AS pack, count(DISTINCT chunk_id) AS n, count(*) AS q FROM quads GROUP BY 1), c AS (SELECT *, CAST(ceil(sqrt(n)) AS INT) AS cols FROM n) SELECT CAST(pack AS VARCHAR) AS name, CAST(n AS INT) AS nodes, CAST(n AS INT) AS meshes, 136 * q AS bin_bytes, (least(n, cols) - 1) * 16.0::DOUBLE AS x, ((n - 1) // cols) * 16.0::DOUBLE AS z FROM c")
 def pack_glb_sizes(spark, d):
-    made = packs.make_packs(_files(spark, d)).withColumnRenamed("pack", "name")
-    return mesh.to_glb(made, pack=True).select("name", F.octet_length("glb").alias("bytes"))
+    """Without normals: 28 bytes a vertex; entries on a square grid."""
+    files = codec.encode_chunks(ev(spark, d), deflate=False).select(F.expr("chunk_id div 16").cast("string").alias("pack"), F.col("chunk_id").alias("ord"), F.concat(F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "content")
+    parts = mesh.glb_parts(mesh.to_glb(packs.make_packs(files).withColumnRenamed("pack", "name"), pack=True))
+    nodes = F.from_json(F.get_json_object("json", "$.nodes"), "array<struct<translation: array<double>>>")
+    most = lambda k: F.array_max(F.transform(nodes, lambda n: n.translation[k]))
+    return parts.select("name", F.size(nodes).alias("nodes"), F.json_array_length(F.get_json_object("json", "$.meshes")).alias("meshes"), "bin_bytes", most(0).alias("x"), most(2).alias("z"))
 
 
 @query("SELECT chunk_id, idx, x, y, z, color FROM li QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY " + _interleave("x", "y", "z") + ") = 1")
@@ -388,22 +564,23 @@ def first_in_stream(spark, d):
     return li(spark, d).withColumn("r", rank).groupBy("chunk_id").agg(F.min_by(F.struct("idx", "x", "y", "z", "color"), "r").alias("v")).select("chunk_id", "v.*")
 
 
-@query("WITH p AS (SELECT l_linenumber, l_partkey, l_suppkey FROM lineitem) SELECT l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS side FROM p WHERE l_partkey % 20 BETWEEN 0 AND 15 AND l_suppkey % 20 BETWEEN 0 AND 15")
+@query("SELECT l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS side FROM lineitem WHERE l_partkey % 20 - 2 BETWEEN 0 AND 15 AND l_suppkey % 20 BETWEEN 0 AND 15 AND l_linenumber * 4 BETWEEN 0 AND 15")
 def bounded_lookup(spark, d):
     t = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
-    return t.where(index.inside((F.col("l_partkey") % 20), (F.col("l_suppkey") % 20), F.lit(0))).withColumn("side", F.when(F.col("l_linenumber") % 2 == 0, "x").otherwise("y"))
+    return t.where(index.inside(F.col("l_partkey") % 20 - 2, F.col("l_suppkey") % 20, F.col("l_linenumber") * 4)).withColumn("side", F.when(F.col("l_linenumber") % 2 == 0, "x").otherwise("y"))
 
 
-@query("SELECT n_nationkey, CAST((n_nationkey % 256) / 255.0 AS FLOAT) AS r FROM nation", views=False)
+@query("WITH v AS (SELECT p_partkey, (p_partkey * 2654435761) % 4294967296 AS v FROM part) SELECT p_partkey, CAST((v >> 24) / 255.0 AS FLOAT) AS r, CAST(((v >> 16) & 255) / 255.0 AS FLOAT) AS g, CAST(((v >> 8) & 255) / 255.0 AS FLOAT) AS b, CAST(CASE WHEN p_partkey % 2 = 0 THEN (v & 255) / 255.0 ELSE 1 END AS FLOAT) AS a FROM v", views=False)
 def hex_color_parse(spark, d):
-    n = table(spark, d, "nation")
-    red = hex_rgba(F.concat(F.lit("#"), F.lpad(F.hex(F.col("n_nationkey") % 256), 2, "0"), F.lit("00FF")))[0]
-    return n.select("n_nationkey", red.alias("r"))
+    """Eight digits for even keys, six for odd ones."""
+    p = table(spark, d, "part").select("p_partkey", F.lpad(F.hex(F.col("p_partkey") * 2654435761 % 4294967296), 8, "0").alias("h"))
+    shown = F.concat(F.lit("#"), F.when(F.col("p_partkey") % 2 == 0, F.col("h")).otherwise(F.substring("h", 1, 6)))
+    return p.select("p_partkey", *(c.alias(n) for n, c in zip("rgba", hex_rgba(shown), strict=True)))
 
 
-@query("SELECT l_orderkey, l_linenumber, l.l_orderkey % 64 AS chunk_id, l_partkey % 20 AS x, l_suppkey % 20 AS y, CAST(l_linenumber AS BIGINT) AS z, coalesce(li.color, 0) AS color FROM lineitem l LEFT JOIN li ON li.chunk_id = l.l_orderkey % 64 AND li.x = l_partkey % 20 AND li.y = l_suppkey % 20 AND li.z = l_linenumber")
+@query("SELECT l_orderkey, l_linenumber, l.l_orderkey // 250 AS chunk_id, l_partkey % 20 AS x, l_suppkey % 20 AS y, CAST(l_linenumber AS BIGINT) AS z, coalesce(li.color, 0) AS color FROM lineitem l LEFT JOIN li ON li.chunk_id = l.l_orderkey // 250 AND li.x = l_partkey % 20 AND li.y = l_suppkey % 20 AND li.z = l_linenumber")
 def voxel_lookup(spark, d):
-    at = [F.col("l_orderkey") % 64, F.col("l_partkey") % 20, F.col("l_suppkey") % 20, F.col("l_linenumber").cast("long")]
+    at = [F.expr(f"l_orderkey div {ORDERS}"), F.col("l_partkey") % 20, F.col("l_suppkey") % 20, F.col("l_linenumber").cast("long")]
     points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(n) for c, n in zip(at, ("chunk_id", "x", "y", "z"), strict=True)))
     return grids.colors_at(li(spark, d), points)
 
@@ -416,7 +593,7 @@ def decode_grid(spark, d):
 
 @query(_LI_LONG)
 def canonical_pack_roundtrip(spark, d):
-    files = codec.encode_chunks(li(spark, d), bpp=8).select((F.col("chunk_id") % 4).cast("string").alias("pack"), F.concat(F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "content")
+    files = codec.encode_chunks(li(spark, d), bpp=8).select(F.expr("chunk_id div 16").cast("string").alias("pack"), F.concat(F.col("chunk_id").cast("string"), F.lit(".vopl")).alias("name"), "content")
     return _unpacked(packs.read_packs(packs.canonical_packs(files)))
 
 
@@ -431,6 +608,6 @@ def usable_colors(spark, d):
     return palette(spark).where("color > 0").select("color", "hex").orderBy("color")
 
 
-@query("SELECT pack, min(name) AS name FROM (SELECT DISTINCT CAST(chunk_id % 4 AS VARCHAR) AS pack, chunk_id || '.vopl' AS name FROM li) GROUP BY pack")
+@query("SELECT pack, min(name) AS name FROM (SELECT DISTINCT CAST(chunk_id // 16 AS VARCHAR) AS pack, chunk_id || '.vopl' AS name FROM li) GROUP BY pack")
 def first_entry(spark, d):
-    return packs.read_packs(packs.make_packs(_files(spark, d))).groupBy("pack").agg(F.min("name").alias("name"))
+    return packs.directory(packs.make_packs(_files(spark, d))).groupBy("pack").agg(F.min("name").alias("name"))

@@ -10,8 +10,8 @@ from chunkyard.model import CELLS
 
 def live_cells(log: DataFrame, order: Column) -> DataFrame:
     """The last color written to each cell of a streaming log (chunk_id, idx, color); for update or complete mode.
-    State holds a row a cell, however many writes there are; 0 is an erased cell."""
-    good = log.where(F.col("idx").between(0, CELLS - 1))
+    State holds a row a cell, however many writes there are; 0 is an erased cell. Writes without a color are dropped."""
+    good = log.where(F.col("idx").between(0, CELLS - 1) & F.col("color").isNotNull())
     return good.groupBy("chunk_id", "idx").agg(F.max_by(F.greatest(F.least("color", F.lit(255)), F.lit(0)), order).alias("color"))
 
 

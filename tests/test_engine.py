@@ -1,5 +1,6 @@
 import json
 import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 from chunkyard import cli
 from chunkyard.operators import codec, generate, grids, mesh, packs, texts
 from chunkyard.plans.queries import ORACLE_SQL, QUERIES
-from chunkyard.sources.files import read_files, safe_name, write_files
+from chunkyard.sources.files import example_by_id, example_list, read_examples, read_files, safe_name, unpack_files, write_files
 from chunkyard.streaming import updates
 
-CORNERS = '{"26304528517632": {"0": 1, "15": 19, "3840": 13, "3855": 7}}'
+CORNERS = '{"40213": {"0": 1, "15": 19, "3840": 13, "3855": 7}}'
 SMALL = {x + 16 * y + 256 * z: 1 + (x + y + z) % 6 for x in range(3) for y in range(2) for z in range(2)}
 
 
@@ -117,6 +118,78 @@ def test_lenient_updates(spark):
     assert sorted((r.chunk, r.idx, r.color) for r in rows) == [("b", 0, 7), ("b", 5, 300)]
 
 
+def test_first_chunk_of_each_text(spark):
+    rows = [('{"b": {"1": 2}, "a": {"5": 6}}', 1), ('{"d": {"1": 3}, "c": {"7": 8}}', 2), ("{}", 3)]
+    plain = texts.parse_updates(spark.createDataFrame(rows, "json string, id int").select("json"), first_only=True)
+    assert sorted((r.chunk, r.idx, r.color) for r in plain.collect()) == [("a", 5, 6), ("c", 7, 8)]
+    named = texts.parse_updates(spark.createDataFrame(rows + [('{"a": {"5": 9}}', 4)], "json string, id int"), first_only=True)
+    assert sorted((r.id, r.chunk, r.color) for r in named.collect()) == [(1, "a", 6), (2, "c", 8), (4, "a", 9)]
+
+
+def test_writes_without_a_color_are_dropped(spark):
+    log = spark.createDataFrame([(0, 1, 5, 1), (0, 1, None, 2), (0, 2, None, 1), (0, None, 4, 1), (0, 3, 400, 1), (0, 4, 0, 1)], "chunk_id long, idx int, color int, at int")
+    assert collect(grids.apply_log(log, F.col("at"))) == {1: 5, 3: 255}
+    assert collect(updates.live_cells(log, F.col("at"))) == {1: 5, 3: 255, 4: 0}
+    assert [r.idx for r in grids.erased(log, F.col("at")).collect()] == [4]
+
+
+def test_clearing(spark):
+    v = voxels(spark, SMALL).unionAll(voxels(spark, {7: 1}, chunk=2))
+    assert collect(grids.apply_log(grids.clearing(v), F.lit(0), v)) == {} and grids.cleared(v).count() == 0
+    assert collect(grids.cleared(v, spark.createDataFrame([(0,), (0,), (9,)], "chunk_id long"))) == {7: 1}
+
+
+def test_dense_cells(spark):
+    rows = grids.densify(voxels(spark, SMALL)).collect()
+    assert len(rows) == 4096 and {r.idx: r.color for r in rows if r.color} == SMALL and all(r.rank == codec.RANK[r.idx] for r in rows)
+
+
+@pytest.mark.parametrize("layout", [packs.RAW, packs.CDC])
+def test_directories_and_single_entries(spark, layout):
+    entries = [("a/x.vopl", *codec.best(stream(SMALL))), ("y.vopl", *codec.best(stream(FULL))), ("x.vopl", *codec.best(stream({1: 2})))]
+    data = packs.write_pack((6, 16, 16, 16, 64), entries, layout)
+    assert packs.read_directory(data) == [(n, e, len(p)) for n, e, p in entries]
+    assert [p for *_, p in packs.read_pack(data, {"y.vopl"})[1]] == [b"", entries[1][2], b""]
+    for cut in (9, 11, 30):
+        with pytest.raises((ValueError, zlib.error, struct.error)):
+            packs.read_directory(data[:cut])
+    df = spark.createDataFrame([("p", bytearray(data))], "pack string, content binary")
+    assert [r.name for r in packs.listing(df).collect()] == ["x.vopl", "x.vopl", "y.vopl"]
+    got = packs.entries_by_name(df, spark.createDataFrame([("p", "x.vopl"), ("p", "none"), ("q", "y.vopl")], "pack string, name string")).collect()
+    assert [(r.pack, r.name) for r in got] == [("p", "x.vopl")] and codec.load_file(bytes(got[0].content)).sum() == 2
+
+
+def test_blocks_and_references(spark):
+    r = np.random.default_rng(1)
+    same = r.integers(0, 256, 30_000, dtype=np.uint8).tobytes()
+    payloads = [same, same[5000:] + b"x" * 10, b"", same]
+    files = spark.createDataFrame([("p", i, f"f/{i}.vopl", bytearray(codec.build_file(0, p))) for i, p in enumerate(payloads)], "pack string, ord long, name string, content binary")
+    cut = packs.cut_blocks(files)
+    blocks = packs.blocks_of(cut)
+    refs = packs.refs_of(cut, blocks)
+    want, numbers = packs.blocks_and_refs(payloads)
+    assert [bytes(x.block) for x in blocks.orderBy("number").collect()] == want
+    assert [[x.number for x in refs.where(F.col("ord") == i).orderBy("pos").collect()] for i in range(4)] == numbers
+    assert {x.ord: bytes(x.payload) for x in packs.expand_refs(refs, blocks).collect()} == {i: p for i, p in enumerate(payloads) if p}
+
+
+def test_examples(spark, tmp_path):
+    (tmp_path / "e.json").write_text(json.dumps({"examples": [{"id": "a", "name": "A", "layers": [["12"]]}, {"id": "b", "name": "B"}, {"id": "a", "name": "A2", "layers": [["3"]]}]}, indent=1))
+    e = read_examples(spark, str(tmp_path / "e.json"))
+    assert [(r.id, r.name) for r in example_list(e).collect()] == [("a", "A"), ("b", "B"), ("a", "A2")]
+    assert [r.name for r in example_by_id(e, "a").collect()] == ["A2"] and example_by_id(e, "c").count() == 0
+    assert collect(texts.decode_layers(example_by_id(e, "a"))) == {0: 3}
+    (tmp_path / "n.json").write_text("{}")
+    assert read_examples(spark, str(tmp_path / "n.json")).count() == 0
+
+
+def test_hostile_names_are_not_unpacked(spark, tmp_path):
+    for bad in ("../x.vopl", "a/x.vopl", ".."):
+        data = packs.write_pack((6, 16, 16, 16, 64), [(bad, *codec.best(stream(SMALL)))])
+        with pytest.raises(Exception, match="not a file name"):
+            unpack_files(spark.createDataFrame([("p", bytearray(data))], "pack string, content binary"), str(tmp_path))
+
+
 def test_json_round_trip(spark):
     text = texts.write_updates(voxels(spark, SMALL)).first().json
     assert json.loads(text) == {"0": {str(k): v for k, v in sorted(SMALL.items())}}
