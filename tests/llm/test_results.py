@@ -648,6 +648,40 @@ def test_stages(spark, sf, texts, tmp_path):
         before, kept = after, left
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {}General Public License for more details."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+
+
+def test_notices_as_they_are_written(spark):
+    from chunkyard.llm.licenses import NAMES, RULES, SENTENCES, license_matches, normalised
+
+    rows = [(1, GPL.format("", "")), (2, GPL.format("Affero ", "Affero ")), (3, GPL.format("Lesser ", "Lesser ")), (4, MPL), (5, ISC), (6, "x.\nDistributed under the Boost\nSoftware License, Version 1.0.\n")]
+    rows += [(7, "Apache License\n                        Version 2.0, January 2004\n          http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions."), (8, "This is free and unencumbered software released into the public domain.")]
+    spdx = [(100 + k, f"# SPDX-License-Identifier: {i}\nx", name) for k, (name, i) in enumerate((n, i) for n, ids, _ in NAMES for i in ids)]
+    got = {(r.doc_id, r.license) for r in license_matches(spark.createDataFrame(rows + [x[:2] for x in spdx], "doc_id long, text string")).collect()}
+    assert got == {(1, "GPL-3.0"), (2, "AGPL-3.0"), (3, "LGPL-3.0"), (4, "MPL-2.0"), (5, "ISC"), (6, "BSL-1.0"), (7, "Apache-2.0")} | {(i, name) for i, _, name in spdx}
+    norms = [normalised(s) for _, s in SENTENCES]
+    assert len(set(norms)) == len(norms) == len({i for i, _ in SENTENCES}) and len(set(RULES)) == len(RULES)
+    assert {i for _, ids in RULES for i in ids} <= {i for i, _ in SENTENCES}
+
+
 def test_spdx(spark):
     from chunkyard.llm.licenses import license_matches
 
