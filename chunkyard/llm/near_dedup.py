@@ -322,11 +322,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with one document (the smallest doc_id) of each near-duplicate group; all columns. Which rows stay is
     near_duplicates()' kept: of an id that repeats with other texts, those whose own text isn't a copy, so that no text
-    goes without one that stays for it."""
+    goes without one that stays for it. Null and empty texts and rows without an id stay; an empty table gives none."""
     signed, named = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, percent, bands, rows)
     tmp = Scratch(docs.sparkSession)
     known = signed.where("n > 0 and doc_id is not null").join(named, "fp")
-    gone = tmp.save(known.where("doc_id != comp").select("doc_id", "fp").distinct())
+    gone = tmp.save(known.where("doc_id != comp").select("doc_id", "fp"))  # no distinct(): a set may have many rows
     stay = known.where("doc_id = comp").select("doc_id").distinct()
     mixed = tmp.save(gone.select("doc_id").distinct().join(stay, "doc_id", "left_semi"))
     left = keep_ids(docs, gone.select("doc_id").distinct(), "doc_id", "left_anti")
