@@ -165,8 +165,8 @@ def piece_codes(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; if keep_ids also decoded and ids array<int>.
 
     ids are what the sentencepiece library gives for the whole text without begin or end marks and
-    sampling; decoded is their text. Null and empty texts have no ids and decode to the empty text. Rows
-    are independent: null or repeated ids and other columns don't matter.
+    sampling; decoded is their text. Null and empty texts have no ids and decode to the empty text; an empty
+    table gives no rows. Rows are independent: null or repeated ids and other columns don't matter.
     """
 
     def run(batches):

@@ -27,7 +27,9 @@ def learnable(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list[tuple[int, str, int]]:
     """(doc_id, text, label) of at most `rows` rows of each of the labels 0 and 1, none held out.
 
-    The ids are chosen by hash before any text is read, so only they go to the driver.
+    The ids are chosen by hash before any text is read. FIT_ROWS and FIT_CHARS bound the labelled rows that are learned
+    from, and nothing else: every row is scored, whole. Null labels, ids and texts aren't learned from; of rows that
+    repeat an id the least text and label count; empty tables give an empty sample.
     """
     known = labels.select("doc_id", F.col(column).alias("label")).where(F.col("label").isin(0, 1) & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     order = [F.xxhash64("doc_id", F.lit(7)), "doc_id"]
@@ -55,7 +57,8 @@ class QualityModel:
 
     def scores(self, rows: list[list[float]]) -> np.ndarray:
         x = expand((np.array(rows).reshape(-1, 3) - self.centre) / self.scale)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        z = (x * self.weights).sum(axis=1)  # row by row: a product of matrices rounds by the number of rows
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def compressors(good: bytes, bad: bytes):
@@ -134,8 +137,8 @@ def fit_quality(sample: list[tuple[int, str, int]], size: int = DICT_BYTES) -> Q
 def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs's doc_id and text as doc_id, held_out, score, predicted; every row, whole texts.
 
-    Null counts as empty; the empty text has the score that the calibration gives to length 0.
-    Rows are independent: null or repeated ids and other columns don't matter.
+    Null counts as empty; the empty text has the score that the calibration gives to length 0; a score of just 0.5 is
+    predicted 1; an empty table gives no rows. Rows are independent: null or repeated ids and other columns don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
 
@@ -149,7 +152,8 @@ def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs's rows that the model doesn't reject (score >= 0.5), with all columns."""
+    """docs's rows that the model doesn't reject (score >= 0.5), with all columns. Null counts as empty; each row is judged
+    by itself, so repeated rows stay or go together; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -263,7 +263,7 @@ def _above(model: ToxicityModel, texts) -> np.ndarray:
 def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, severity (expected grade), grade (the likeliest), toxic (P(grade > 0) >= 0.5) of every row.
 
-    Null and empty texts have no features. Equally likely grades give the lower. Rows are
+    Null and empty texts have no features. Equally likely grades give the lower. An empty table gives no rows. Rows are
     independent: null or repeated ids and other columns don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
@@ -279,7 +279,8 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs's rows that aren't toxic, with all columns."""
+    """docs's rows that aren't toxic, with all columns. Null and empty texts have no features; each row is judged by itself,
+    so repeated rows stay or go together; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -28,8 +28,9 @@ def url_verdicts(pages: DataFrame, rules=RULES, *, default: str = "allow", id_co
     ones the first in code-point order, of equal ones block. Without a rule: null and the default.
     A URL is expanded only to as many host labels and path characters as some rule has, so a row has
     at most (label counts) x (path lengths) expressions, however long the URL is. The rule table is
-    broadcast only if its measured size is below the broadcast threshold; beyond it the same equi-join shuffles. Rows are independent: null or repeated ids
-    and other columns don't matter.
+    broadcast only if its measured size is below the broadcast threshold; beyond it the same equi-join shuffles. An empty
+    table gives no rows; without rules every row has the default. Rows are independent: null or repeated ids and other
+    columns don't matter.
     """
     spark = pages.sparkSession
     host, path = split_url(F.col("url"))

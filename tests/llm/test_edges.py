@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns, for each operator."""
 
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,16 @@ def docs(spark, rows=TEXTS):
     return df.withColumns(extra).withColumn("n_chars", F.length("text").cast("long"))
 
 
+
+
+def filler(i):
+    r = random.Random(i)
+    return ["".join(r.choices("bcdfghklmnoprtvw", k=7)) for _ in range(12)]
+
+
+CLEAN = [(i, ". ".join(filler(i)), 0) for i in range(0, 120, 2)]
+FOUL = [(i, " ".join([*filler(i), *("idiot", "scum", "idiot", "scum")[i // 2 % 2 : i // 2 % 2 + 1 + i // 4 % 3]]), 1) for i in range(1, 120, 2)]
+
 OPERATORS = {
     "near": lambda d, s: near_duplicates(d),
     "tokens": lambda d, s: piece_codes(d, MODEL),
@@ -36,6 +48,8 @@ OPERATORS = {
     "shards": lambda d, s: byte_shards(d),
     "quality": lambda d, s: quality_scores(d, fit_quality([])),
     "toxicity": lambda d, s: toxicity.toxicity_scores(d, toxicity.fit_toxicity([])),
+    "fitted quality": lambda d, s: quality_scores(d, fit_quality([(i, t, 1 - y) for i, t, y in CLEAN + FOUL])),
+    "fitted toxicity": lambda d, s: toxicity.toxicity_scores(d, toxicity.fit_toxicity(CLEAN + FOUL)),
 }
 
 
@@ -98,6 +112,18 @@ def test_classifiers_keep_columns(spark):
     assert kept.schema == d.schema and kept.count() == len(TEXTS)
 
 
+def test_fitted_classifiers(spark):
+    rows = [*TEXTS, (20, "you scum"), (21, "YOU SCUM!"), (21, "YOU SCUM!"), (None, "idiot scum idiot"), (22, "a fine sentence about nothing"), (23, "scum " * 40_000)]
+    model = toxicity.fit_toxicity(CLEAN + FOUL)
+    got = [(r.doc_id, r.toxic) for r in toxicity.toxicity_scores(docs(spark, rows), model).collect()]
+    assert sorted(i or 0 for i, t in got if t) == [0, 20, 21, 21, 23]
+    left = toxicity.drop_toxic(docs(spark, rows), model)
+    assert left.count() == len(rows) - 5 and left.schema == docs(spark).schema
+    good = fit_quality([(i, t, 1 - y) for i, t, y in CLEAN + FOUL])
+    scores = {r.doc_id: r.score for r in quality_scores(docs(spark, [(1, CLEAN[0][1]), (2, FOUL[0][1]), (3, None), (4, "")]), good).collect()}
+    assert scores[1] > 0.5 > scores[2] and scores[3] == scores[4]
+
+
 def test_sample_takes_no_held_out_row(spark):
     import zlib
 
