@@ -19,27 +19,37 @@ from chunkyard.shipping import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without what the classifier, fitted on docs' labelled rows, rejects. Null and empty texts are scored as empty,
+    a score of just 0.5 stays, repeated rows stay or go together, an empty table stays empty."""
     ship(spark)
     return keep_quality(docs, fit_quality(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that are likelier toxic than not. Null and empty texts stay, repeated rows stay or go together,
+    an empty table stays empty."""
     ship(spark)
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.FIT_ROWS)
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity(sample))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with the smallest doc_id of each group of near copies (five words, 0.8). Null and empty texts and rows without
+    an id stay; rows that repeat an id and a text are one document; an empty table stays empty."""
     ship(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a benchmark item at half of its best score. Null and empty texts stay, an empty
+    benchmark drops nothing, repeated rows stay or go together, an empty table stays empty."""
     ship(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, counts, digests, decoded text and ids of every row; null and empty texts have no ids, repeated rows each give
+    theirs, an empty table gives none."""
     ship(spark)
     return piece_codes(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
