@@ -192,6 +192,20 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert [len(x.ids) for x in decontaminate.item_blocks(b, 20)] == [2, 2, 2, 1]
 
 
+def test_several_blocks_find_what_one_does(spark, monkeypatch):
+    r = random.Random(9)
+    items = [(i, " ".join(f"v{r.randrange(40)}" for _ in range(r.choice([1, 2, 5, 9])))) for i in range(12)]
+    texts = [(i, " ".join(f"v{r.randrange(40)}" for _ in range(20)) + (" " + items[i % 12][1] if i % 3 else "")) for i in range(60)] + [(None, items[3][1]), (61, None)]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(repr, decontaminate.contaminated(d, b).collect()))
+    left = decontaminate.drop_contaminated(d, b).count()
+    blocks = decontaminate.item_blocks
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, least: blocks(b, 12, least))
+    assert len(list(decontaminate.item_blocks(b, 0.5))) > 2
+    assert sorted(map(repr, decontaminate.contaminated(d, b).collect())) == one and len(one) > 40
+    assert decontaminate.drop_contaminated(d, b).count() == left < len(texts)
+
+
 # op3
 
 
