@@ -187,27 +187,27 @@ def word_rates(sample: list[tuple[int, str, int]], telling: list[str]) -> tuple[
 
 def severities(sample: list[tuple[int, str, int]]) -> np.ndarray:
     """For each row how many of its words, repeated ones too, tell toxic rows from clean ones in the other folds."""
-    bags = [Counter(_WORD.findall(t.lower())) for _, t, _ in sample]
-    y = np.array([t for *_, t in sample], int)
-    fold = np.arange(len(y)) % FOLDS
-    rows = [Counter(), Counter()]
-    part: list[list[Counter]] = [[Counter(), Counter()] for _ in range(FOLDS)]
-    for bag, t, k in zip(bags, y, fold, strict=True):
-        if t:
-            rows[1].update(bag.keys())
-            part[k][1].update(bag.keys())
-    for bag, t, k in zip(bags, y, fold, strict=True):
-        if not t:
-            held = bag.keys() & rows[1].keys()
-            rows[0].update(held)
-            part[k][0].update(held)
-    out = np.zeros(len(y))
+    folds = [(t, y, i % FOLDS) for i, (_, t, y) in enumerate(sample)]
+    n = Counter((y, k) for _, y, k in folds)
+    held: tuple[Counter, Counter] = (Counter(), Counter())  # clean and toxic rows that hold a word
+    part = [(Counter(), Counter()) for _ in range(FOLDS)]  # those of a fold
+    for label in (1, 0):
+        for t, y, k in folds:
+            if y == label:
+                words = set(_WORD.findall(t.lower()))
+                words = words if y else words & held[1].keys()
+                held[y].update(words)
+                part[k][y].update(words)
+        if label:
+            for w in [w for w, c in held[1].items() if c < LEAST_ROWS]:
+                del held[1][w]
+                for some in part:
+                    some[1].pop(w, None)
+    tells = []
     for k in range(FOLDS):
-        n = [int(((y == t) & (fold != k)).sum()) for t in (0, 1)]
-        tells = {w for w, both in rows[1].items() if (a := both - part[k][1][w]) >= LEAST_ROWS and a * n[0] > LEAST_RATIO * (rows[0][w] - part[k][0][w] + 0.5) * n[1]}
-        for i in np.flatnonzero(fold == k):
-            out[i] = sum(c for w, c in bags[i].items() if w in tells)
-    return out
+        clean, toxic = (sum(n[y, j] for j in range(FOLDS) if j != k) for y in (0, 1))
+        tells.append({w for w, both in held[1].items() if (a := both - part[k][1][w]) >= LEAST_ROWS and a * clean > LEAST_RATIO * (held[0][w] - part[k][0][w] + 0.5) * toxic})
+    return np.array([sum(w in tells[k] for w in _WORD.findall(t.lower())) for t, _, k in folds], float)
 
 
 def fit_toxicity(sample: list[tuple[int, str, int]]) -> ToxicityModel:
