@@ -115,12 +115,23 @@ def _trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+#: What a worker keeps from task to task of one operator, by the operator's name; a task of another one drops it.
+kept: dict[str, dict] = {}
+
+
+def _drop_others(keep: str) -> None:
+    """A function of the module, as what is pickled with a closure would see a copy of `kept`."""
+    for other in kept.keys() - {keep}:
+        del kept[other]
+
+
+def arrow_map(df: DataFrame, function, schema, keep: str = "") -> DataFrame:
     """mapInArrow with batches cut by rows and bytes: texts are long, and what is made of them is longer.
     At the end of a partition unused memory goes back. The caller's settings aren't touched; how large the batches are
-    that Spark sends is the session's affair, see chunkyard.shipping."""
+    that Spark sends is the session's affair, see chunkyard.shipping. keep: the name under which the function uses `kept`."""
 
     def run(batches):
+        _drop_others(keep)
         yield from function(part for b in batches for part in slices(b))
         _trim()
 

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import arrow_map
+from chunkyard.llm.common import arrow_map, kept
 
 SPACE = "▁"
 #: Marks before which a word is cut off, if no piece of the model holds such a mark after a letter or digit.
 MARKS = ",.;:!?|%&*#$"
-_codecs: dict[str, PieceCodec] = {}
+_KEEP = "piece_tokens"
 
 
 class Remembered(dict):
@@ -47,7 +47,7 @@ class PieceCodec:
     """Encoder and decoder of one BPE model with byte fallback, identity normalisation and a
     dummy prefix. Texts are cut where no piece can reach across, and segments are remembered."""
 
-    def __init__(self, model: str, most: int = 200_000):
+    def __init__(self, model: str, most: int = 120_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -155,10 +155,11 @@ class PieceCodec:
 
 
 def codec(model: str) -> PieceCodec:
-    """One codec for each Python worker and model."""
-    if model not in _codecs:
-        _codecs[model] = PieceCodec(model)
-    return _codecs[model]
+    """One codec for each Python worker and model, while the worker runs tasks of this operator."""
+    codecs = kept.setdefault(_KEEP, {})
+    if model not in codecs:
+        codecs[model] = PieceCodec(model)
+    return codecs[model]
 
 
 def piece_codes(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -188,4 +189,4 @@ def piece_codes(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns[:k]], names=["doc_id", *names[:k]])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string, ids array<int>" * keep_ids
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema, _KEEP)

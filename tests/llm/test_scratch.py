@@ -40,3 +40,29 @@ def test_batches_are_cut_by_bytes(spark):
     spark.conf.set(key, before)
     assert sum(r.n for r in got) == 60 and max(r.b for r in got) < 1.2 * BATCH_BYTES and len(got) > 6
     assert arrow_map(long.where("false"), sizes, "n long, b long").count() == 0
+
+
+def test_a_task_of_another_operator_drops_what_was_kept():
+    from chunkyard.llm.common import arrow_map, kept
+
+    def count(batches):
+        import pyarrow as pa
+
+        from chunkyard.llm.common import kept
+
+        for _ in batches:
+            mine = kept.setdefault("mine", {"tasks": 0})
+            mine["tasks"] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([mine["tasks"]])], names=["n"])
+
+    run = lambda keep: arrow_map(_Frame(), count, "n long", keep)  # noqa: E731  in this process: Spark may give each task another worker
+    for keep, n in (("mine", 1), ("mine", 2), ("other", 1), ("", 1), ("mine", 2)):
+        assert [b.column(0)[0].as_py() for b in run(keep)] == [n]
+    kept.clear()
+
+
+class _Frame:
+    def mapInArrow(self, run, schema):
+        import pyarrow as pa
+
+        return list(run([pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])]))
