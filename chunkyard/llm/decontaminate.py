@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment by words.
 
-The benchmark is read in blocks of bounded size, and one block is done with before the next. For a block, one pass
-counts in how many sampled documents each of its word pairs lies, and a second one joins each item's rarer pairs, sent to
-all workers, with the documents' pairs, enough of them that no alignment of the least score can be without one, and
-aligns the item with the words around them.
+The benchmark is read in blocks of bounded size, and one block is done with before the next. For a block, one pass over
+the texts writes the documents that hold any of its word pairs as word numbers. From these a second one counts in how many
+documents each pair lies, and a third one joins each item's rarer pairs, sent to all workers, with the documents' pairs, enough
+of them that no alignment of the least score can be without one, and aligns the item with the words around them.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from chunkyard.llm.common import Scratch, arrow_map, few
 
-#: Items of fewer words must be found whole; least normalised alignment score; words of the benchmark in one block (about 100 MB in a worker);
-#: one in SAMPLE texts is counted.
-SHORT, SCORE, BLOCK_WORDS, SAMPLE = 3, 0.5, 500_000, 16
+#: Items of fewer words must be found whole; least normalised alignment score; words of the benchmark in one block (about 100 MB in a worker).
+SHORT, SCORE, BLOCK_WORDS = 3, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 _EDGE = ".,;:!?\"'()[]{}«»“”‘’%*#$&|-"
 
@@ -74,6 +73,11 @@ class Items:
         a, b = numbers[:-step], numbers[step:]
         return np.where((a > 0) & (b > 0), a * v + b + (v * v if form == "row" else 0), -1)
 
+    def held(self, numbers: np.ndarray) -> np.ndarray:
+        """The block's codes in a document of numbered words, once for each place."""
+        g = np.concatenate([np.empty(0, np.int64), *(self.codes(numbers, form) for form in self.forms)])
+        return g[_among(g, self.all)]
+
     def rare(self, frequency: np.ndarray) -> tuple[np.ndarray, ...]:
         """Seeds by the frequencies of `all`: their codes, sorted, where each one's places begin, and the places' items
         and words. Of the places of an item that begin a pair, the most frequent are left out, one fewer than are sure."""
@@ -122,7 +126,7 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman: the best local score of two word sequences (0 in b matches nothing), and where it ends in b."""
+    """Smith-Waterman: the best local score of two word sequences (0 in b matches nothing), and where it first ends in b."""
     steps = GAP * np.arange(len(b) + 1)
     h = np.zeros(len(b) + 1, np.int64)
     best, end = 0, 0
@@ -132,7 +136,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         new[1:] = np.maximum(np.maximum(h[:-1] + np.where(b == w, MATCH, -MISMATCH), h[1:] - GAP), 0)
         h = np.maximum.accumulate(new + steps) - steps  # gaps along b
         k = int(h.argmax())
-        if h[k] > best:
+        if h[k] > best or (h[k] == best and k < end):
             best, end = int(h[k]), k
     return best, end
 
@@ -211,48 +215,66 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, least: float = SC
         yield Items(rows, least)
 
 
-def _seeds(docs: DataFrame, items: Items):
-    """The block's seeds. Document frequencies are counted over one in SAMPLE texts: they only choose which of the
-    seeds that can be spared are left out, so results don't depend on them."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(items)
+def _numbered(docs: DataFrame, shared, key: str) -> DataFrame:
+    """key and numbered words (32 bits each) of the documents (key, text) that hold any code of the block; the others hold
+    no item."""
 
-    def count(batches):
-        block = shared.value
-        known, counts = Numbering(block.vocabulary), Counter()
+    def run(batches):
+        block, known = shared.value, Numbering(shared.value.vocabulary)
         for b in batches:
-            for t in b.column(0):
+            at, rows = [], []
+            for i, t in enumerate(b.column(1)):
                 n = known.numbers(t.as_py())
-                g = np.concatenate([np.empty(0, np.int64), *(block.codes(n, form) for form in block.forms)])
-                counts.update(np.unique(g[_among(g, block.all)]).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["g", "n"])
+                if len(block.held(n)):
+                    at.append(i)
+                    rows.append(n.astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(rows, pa.binary())], names=["key", "numbers"])
+
+    return arrow_map(docs, run, f"key {key}, numbers binary")
+
+
+def _numbers(column):
+    """The documents of _numbered()."""
+    return (np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in column)
+
+
+def _frequencies(numbered: DataFrame, items: Items, shared) -> np.ndarray:
+    """In how many of all documents each code of the block lies."""
+
+    def count(batches):
+        block, counts = shared.value, np.zeros(len(shared.value.all), np.int64)
+        for b in batches:
+            for n in _numbers(b.column(0)):
+                counts[np.searchsorted(block.all, np.unique(block.held(n)))] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(block.all[at]), pa.array(counts[at])], names=["g", "n"])
 
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    found = arrow_map(some, count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    found = arrow_map(numbered.select("numbers"), count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     found = found.toArrow()  # at most the block's codes
     frequency = np.zeros(len(items.all), np.int64)
     frequency[np.searchsorted(items.all, found["g"].to_numpy())] = found["n"].to_numpy()
-    return shared, sc.broadcast(items.rare(frequency))
+    return frequency
 
 
-def _by_block(docs: DataFrame, benchmark: DataFrame, score: float, rows_of, columns: list[str], schema: str) -> DataFrame:
+def _by_block(docs: DataFrame, benchmark: DataFrame, score: float, rows_of, schema: str) -> DataFrame:
     """What rows_of(key, leaks) makes of each document (key, text) and its leaks, for each block of the benchmark; written
     block by block, so that memory holds one block, however many there are."""
-    tmp = Scratch(docs.sparkSession)
+    sc, tmp = docs.sparkSession.sparkContext, Scratch(docs.sparkSession)
     out = docs.sparkSession.createDataFrame([], schema)
-    names = out.columns
+    names, dtypes = out.columns, out.dtypes
     for items in item_blocks(benchmark, least=score):
-        shared, seeds = _seeds(docs, items)
+        shared = sc.broadcast(items)
+        numbered = tmp.save(_numbered(docs, shared, docs.dtypes[0][1]))
+        seeds = sc.broadcast(items.rare(_frequencies(numbered, items, shared)))
 
         def run(batches, shared=shared, seeds=seeds):
-            block, known = shared.value, Numbering(shared.value.vocabulary)
             for b in batches:
-                rows = [r for key, t in zip(b.column(0), b.column(1), strict=True) for r in rows_of(key.as_py(), leaks_in(known.numbers(t.as_py()), block, seeds.value))]
+                rows = [r for key, n in zip(b.column(0), _numbers(b.column(1)), strict=True) for r in rows_of(key.as_py(), leaks_in(n, shared.value, seeds.value))]
                 kinds = [pa.int64() if k == "bigint" else pa.float64() if k == "double" else pa.string() for _, k in dtypes]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-        dtypes = out.dtypes
-        out = out.unionAll(tmp.save(arrow_map(docs.select(*columns), run, schema)))
+        out = out.unionAll(tmp.save(arrow_map(numbered, run, schema)))
+        tmp.drop(numbered)
         for b in (shared, seeds):
             b.destroy()
     return out
@@ -263,12 +285,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE)
 
     score is the best Smith-Waterman score by words (match 2, mismatch and gap -1) over the most possible, at
     least `score`; the words are those of words(), counted from 0, end excluded. Equal scores: the first
-    place. Every alignment of that score is found, see Items; only items of one or two words must lie in the document
+    end, then the last start. Every alignment of that score is found, see Items; only items of one or two words must lie in the document
     whole and in a row, as a single word would score 0.5. Null and empty texts and items match nothing. Repeated rows each give their rows, repeated
     items too; null ids are carried. Without documents or items there are no rows. Other columns are ignored.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _by_block(ids, benchmark, score, lambda key, leaks: [(key, *x) for x in leaks], ["doc_id", "text"], "doc_id long, item_id long, score double, start_word long, end_word long")
+    return _by_block(ids, benchmark, score, lambda key, leaks: [(key, *x) for x in leaks], "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE) -> DataFrame:
@@ -277,5 +299,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, score: float = S
     depends on the text alone, so texts are dropped by their digest; ids may be null or repeated. An empty table gives none."""
     digest = F.sha2(F.col("text").cast("binary"), 256)
     texts = docs.select(digest.alias("digest"), "text")
-    found = _by_block(texts, benchmark, score, lambda key, leaks: [(key,)] if leaks else [], ["digest", "text"], "_leak string")
+    found = _by_block(texts, benchmark, score, lambda key, leaks: [(key,)] if leaks else [], "_leak string")
     return docs.join(few(found.distinct()), digest == F.col("_leak"), "left_anti")

@@ -187,6 +187,42 @@ def test_heavily_edited_copies_against_all_alignments(spark, full, least):
     assert decontaminate.drop_contaminated(d, b, score=least).count() == len(rows) - len({k for k, _ in want})
 
 
+def test_pairs_are_counted_in_all_documents(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(f"v{r.randrange(12)}" for _ in range(r.randrange(9))) for _ in range(150)] * 2 + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame([(0, "v1 v2 v3 v4 v5"), (1, "v6"), (2, "v7 v8")], "item_id long, text string")
+    seen, rare = [], decontaminate.Items.rare
+    monkeypatch.setattr(decontaminate.Items, "rare", lambda self, frequency: seen.append((self, frequency.tolist())) or rare(self, frequency))
+    decontaminate.contaminated(d, b)
+    decontaminate.drop_contaminated(d, b)
+    for block, got in seen:
+        numbers = [decontaminate.Numbering(block.vocabulary).numbers(t) for t in texts]
+        held = [{c for form in block.forms for c in block.codes(n, form).tolist()} for n in numbers]
+        assert got == [sum(c in h for h in held) for c in block.all.tolist()] and min(got) > 0
+    assert len(seen) == 2
+
+
+def test_places_of_equal_scores_do_not_depend_on_seeds(spark):
+    """An item with several best places: the first end and the last start of the whole text, whatever other documents hold."""
+    r = random.Random(11)
+    item = [f"w{i}" for i in range(8)]
+    halves = [item[:5], item[3:], item[:4] + ["x"] + item[5:6], item[2:7]]
+    bodies = [[w for _ in range(3) for w in r.choice(halves) + ["y"] * r.choice([0, 1, 3, 20])] for _ in range(60)]
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    number = decontaminate.Items([(1, item)])
+    a, want = number.items[0].tolist(), {}
+    for k, x in enumerate(bodies):
+        n = decontaminate.Numbering(number.vocabulary).numbers(" ".join(x)).tolist()
+        best = plain_align(a, n)
+        end = next(e for e in range(len(n) + 1) if plain_align(a, n[:e]) == best)
+        want[k] = best / 16, next(s for s in range(end, -1, -1) if plain_align(a, n[s:end]) == best), end
+    for often in ([], item[:4], item[4:]):
+        d = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(bodies)] + [(100 + k, " ".join([*often[:3], str(k)])) for k in range(300)], "doc_id long, text string")
+        got = {x.doc_id: (x.score, x.start_word, x.end_word) for x in decontaminate.contaminated(d, b).collect()}
+        assert {k: got.get(k) for k in want} == {k: v if v[0] >= 0.5 else None for k, v in want.items()}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     b = spark.createDataFrame([(i, " ".join(f"v{i}x{k}" for k in range(9))) for i in range(7)], "item_id long, text string")
     assert [len(x.ids) for x in decontaminate.item_blocks(b, 20)] == [2, 2, 2, 1]
