@@ -8,10 +8,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import GOLD, MASK, WordHashes, arrow_map, mix, shingle_set, word_hashes, words_of
+from chunkyard.llm.common import GOLD, MASK, Scratch, WordHashes, arrow_map, few, keep_ids, mix, shingle_set, word_hashes, words_of
 from chunkyard.llm.near_dedup import band_keys, super_min_hash
 
 #: Features kept for the regression, the fewest toxic sample rows that hold a feature, how many times likelier it is in them at least,
@@ -22,6 +22,8 @@ FOLDS = 4
 #: The bounded sample, as in quality.labelled_sample().
 FIT_ROWS = 3000
 GRADES = 4
+#: Words that a Vocabulary of a worker holds before it is begun anew, and elements of sets that are signed together.
+WORDS, SIGNED = 100_000, 60_000
 _WORD = re.compile(r"\w+")
 
 
@@ -116,8 +118,10 @@ class Vocabulary:
         return out
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, none negative, and ordered thresholds of greatest penalised likelihood, by projected Adam over all rows."""
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 400, ridge: float = 1e-3, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, none negative, and ordered thresholds of greatest penalised likelihood, by projected Adam over all rows.
+    times: how often each row occurs, once if not given."""
+    share = np.full(len(rows), 1 / len(rows)) if times is None else times / times.sum()
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate([np.array(r, np.int64) for r in rows] + [np.empty(0, np.int64)])
     cuts = int(grades.max())
@@ -138,7 +142,7 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, steps:
         dz_k[i[up], grades[up] - 1] -= (slope[i[up], grades[up] - 1] / prob[up])
         low = grades < cuts
         dz_k[i[low], grades[low]] += (slope[i[low], grades[low]] / prob[low])
-        dz_k /= len(rows)
+        dz_k *= share[:, None]
         g = np.empty_like(p)
         g[:features] = np.bincount(col, dz_k.sum(1)[at], features) + ridge * p[:features] / 10
         dtheta = -dz_k.sum(0)
@@ -256,6 +260,156 @@ def fit_toxicity(sample: list[tuple[int, str, int]]) -> ToxicityModel:
     return ToxicityModel(dict(zip(telling, w.tolist(), strict=True)), theta.tolist())
 
 
+def unlike_rows(rows: DataFrame, tmp: Scratch) -> DataFrame:
+    """unlike() of all rows (doc_id, text, label): a row goes if one before it, by crc32 of the id and the id, has one of its keys."""
+
+    def sign(batches):
+        known = WordHashes()
+        for b in batches:
+            sets = [shingle_set(word_hashes(words_of(t.as_py()), known), 2) for t in b.column(1).cast(pa.binary())]
+            keys, part, n = [], [], 0
+            for i, s in enumerate(sets):
+                part.append(s)
+                n += len(s)
+                if n >= SIGNED or i + 1 == len(sets):
+                    signed = band_keys(super_min_hash(np.concatenate(part), np.array([len(x) for x in part]), 90), 30, 3).tolist()
+                    keys += [k if len(x) else [] for k, x in zip(signed, part, strict=True)]
+                    part, n = [], 0
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
+
+    signed = tmp.save(arrow_map(rows.select("doc_id", "text"), sign, "doc_id long, keys array<long>"))
+    keyed = signed.select("doc_id", F.explode("keys").alias("key"))
+    first = F.min(F.struct(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id"))["doc_id"]
+    shared = keyed.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = keyed.join(few(tmp.save(shared)), "key").where("doc_id <> first").select("doc_id").distinct()
+    return keep_ids(rows, tmp.save(copies), "doc_id", "left_anti")
+
+
+def in_folds(rows: DataFrame) -> DataFrame:
+    """rows with fold, their place by crc32 of the id and the id modulo FOLDS: places in buckets of the crc32, after the rows
+    of the buckets before."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    ids = rows.select("doc_id", F.shiftright(crc, 20).alias("bucket"), crc.alias("crc"))
+    n = {r.bucket: r["count"] for r in ids.groupBy("bucket").count().collect()}  # at most 4096
+    before = dict(zip(sorted(n), np.cumsum([0] + [n[k] for k in sorted(n)]).tolist(), strict=False))
+    start = rows.sparkSession.createDataFrame(list(before.items()), "bucket long, start long")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("crc", "doc_id")) - 1
+    fold = ids.withColumn("place", place).join(F.broadcast(start), "bucket").select("doc_id", F.pmod(F.col("place") + F.col("start"), F.lit(FOLDS)).cast("int").alias("fold"))
+    return rows.join(few(fold), "doc_id")
+
+
+def telling_features(rows: DataFrame, n: list[int], tmp: Scratch) -> list[str]:
+    """The features that fit_toxicity() chooses, from n[0] clean and n[1] toxic rows (text, label)."""
+    texts = rows.select("text", "label")
+
+    def count(batches):
+        words = Vocabulary()
+        for b in batches:
+            if len(words.words) > WORDS:
+                words = Vocabulary()
+            held = [words.features(t.as_py()) for t in b.column(0)]
+            codes, at = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_inverse=True)
+            toxic = np.bincount(at, np.repeat(b.column(1).to_numpy(), [len(h) for h in held]), len(codes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(codes)) - toxic)], names=["feature", "a", "b"])
+
+    counted = arrow_map(texts, count, "feature long, a long, b long").groupBy("feature").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    counted = tmp.save(counted.where(F.col("a") >= LEAST_ROWS))
+    a, b, total = F.col("a"), F.col("b"), n[0] + n[1]
+
+    def part(k, of, other):
+        return F.when(k > 0, k * F.log(F.greatest(k, F.lit(1.0)) * total / (of * F.greatest(other, F.lit(1.0))))).otherwise(0.0)
+
+    strength = 2 * (part(a, n[1], a + b) + part(b, n[0], a + b) + part(n[1] - a, n[1], total - a - b) + part(n[0] - b, n[0], total - a - b))
+    good = counted.select("feature", a, b, strength.alias("strength")).where((a * n[0] > LEAST_RATIO * b * n[1]) & (F.col("strength") >= float(2.5 * np.log(max(counted.count(), 2)))))
+    unsigned = F.col("feature").bitwiseXOR(F.lit(-(1 << 63)))
+    chosen = [r.feature for r in good.orderBy(F.desc("strength"), unsigned).limit(FEATURES).collect()]
+    wanted = np.array(chosen, np.int64).view(np.uint64)
+
+    def name(batches):
+        words = Vocabulary()
+
+        def found():
+            names = words.names(wanted)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(list(names), np.uint64).view(np.int64)), pa.array(list(names.values()), pa.string())], names=["feature", "name"])
+
+        for b in batches:
+            for t in b.column(0):
+                words.features(t.as_py())
+            if len(words.words) > WORDS:
+                yield found()
+                words = Vocabulary()
+        yield found()
+
+    named = dict(arrow_map(texts.where("label = 1"), name, "feature long, name string").groupBy("feature").agg(F.min("name")).collect())
+    telling = [named[f] for f in chosen]
+
+    def rate(batches):
+        counts, words = np.zeros((2, len(telling) + 1)), [0, 0]
+        for b in batches:
+            some, words = word_rates([(None, t, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], telling)
+            counts += np.hstack([some, np.array(words)[:, None]])
+        at = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, counts[:, at].astype(np.int64))], names=["at", "clean", "toxic"])
+
+    counts = np.zeros((2, len(telling) + 1))
+    for at, *x in arrow_map(texts, rate, "at long, clean long, toxic long").groupBy("at").agg(F.sum("clean"), F.sum("toxic")).collect():
+        counts[:, at] = x
+    common = counts[1] * counts[0, -1] > LEAST_RATIO * (counts[0] + 0.5) * counts[1, -1]
+    return [f for f, c in zip(telling, common, strict=False) if c]
+
+
+def telling_words(rows: DataFrame, n: dict[tuple[int, int], int]) -> list[set[str]]:
+    """For each fold the words that severities() counts in its rows, from rows (text, label, fold), n[label, fold] of each."""
+
+    def count(batches):
+        for b in batches:
+            held = Counter((w, y * FOLDS + k) for t, y, k in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in set(_WORD.findall(t.lower())))
+            word, part = zip(*held, strict=True) if held else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(part, pa.int32()), pa.array(held.values(), pa.int64())], names=["word", "part", "n"])
+
+    found = arrow_map(rows.select("text", "label", "fold"), count, "word string, part int, n long").groupBy("word")
+    found = found.agg(*(F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)))
+    tells = []
+    for k in range(FOLDS):
+        held = [sum(F.col(f"n{y * FOLDS + j}") for j in range(FOLDS) if j != k) for y in (0, 1)]
+        clean, toxic = (sum(n.get((y, j), 0) for j in range(FOLDS) if j != k) for y in (0, 1))
+        tells.append((held[1] >= LEAST_ROWS) & (held[1] * clean > LEAST_RATIO * (held[0] + 0.5) * toxic))
+    found = found.select("word", F.array(*tells).alias("tells")).where(F.array_contains("tells", True)).collect()
+    return [{r.word for r in found if r.tells[k]} for k in range(FOLDS)]
+
+
+def fit_toxicity_rows(rows: DataFrame) -> ToxicityModel:
+    """fit_toxicity() on all rows (doc_id, text, label) of quality.labelled_rows(), however many: what it counts on the
+    driver is counted by tasks here, and the regression is fitted to distinct rows of features and how often each occurs."""
+    spark, tmp = rows.sparkSession, Scratch(rows.sparkSession)
+    rows = tmp.save(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
+    rows = tmp.save(in_folds(tmp.save(unlike_rows(rows, tmp))))
+    n = {(r.label, r.fold): r["count"] for r in rows.groupBy("label", "fold").count().collect()}
+    of = [sum(c for (y, _), c in n.items() if y == v) for v in (0, 1)]
+    if not all(of):
+        return ToxicityModel({}, [-30.0 if of[1] else 30.0] + [30.0] * (GRADES - 2))
+    telling = telling_features(rows, of, tmp)
+    shared = spark.sparkContext.broadcast((ToxicityModel(dict.fromkeys(telling, 0.0), []), {f: k for k, f in enumerate(telling)}, telling_words(rows, n)))
+
+    def describe(batches):
+        model, number, tells = shared.value
+        for b in batches:
+            texts, labels, folds = (c.to_pylist() for c in b.columns)
+            held = [sorted(number[f] for f in model.features(t)) for t in texts]
+            severity = [sum(w in tells[k] for w in _WORD.findall(t.lower())) if y else 0 for t, y, k in zip(texts, labels, folds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(severity, pa.int64()), pa.array(held, pa.list_(pa.int32()))], names=["label", "severity", "held"])
+
+    described = tmp.save(arrow_map(rows.select("text", "label", "fold"), describe, "label int, severity long, held array<int>"))
+    shared.destroy()
+    some = sorted(described.where("label = 1").groupBy("severity").count().collect())
+    cut = np.quantile(np.repeat([r.severity for r in some], [r["count"] for r in some]), [1 / 3, 2 / 3])
+    grade = F.when(F.col("label") == 1, sum((F.col("severity") > float(c)).cast("int") for c in cut) + 1).otherwise(0)
+    distinct = described.groupBy("held", grade.alias("grade")).count().orderBy("held", "grade").toArrow()
+    used, grades = np.unique(distinct["grade"].to_numpy(), return_inverse=True)  # without gaps
+    w, theta = fit_ordinal(distinct["held"].to_pylist(), grades, len(telling), times=distinct["count"].to_numpy().astype(float))
+    return ToxicityModel(dict(zip(telling, w.tolist(), strict=True)), theta.tolist())
+
+
 def _above(model: ToxicityModel, texts) -> np.ndarray:
     return model.above(np.array([model.evidence(t.as_py() or "") for t in texts], float))
 

@@ -14,23 +14,22 @@ from chunkyard.llm.common import Scratch, table
 from chunkyard.llm.decontaminate import drop_contaminated
 from chunkyard.llm.near_dedup import drop_near_duplicates
 from chunkyard.llm.piece_tokens import piece_codes
-from chunkyard.llm.quality import fit_quality, keep_quality, labelled_sample
+from chunkyard.llm.quality import fit_quality_rows, keep_quality, labelled_rows
 from chunkyard.shipping import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without what the classifier, fitted on docs' labelled rows, rejects. Null and empty texts are scored as empty,
+    """docs without what the classifier, fitted on all of docs' labelled rows that aren't held out, rejects. Null and empty texts are scored as empty,
     a score of just 0.5 stays, repeated rows stay or go together, an empty table stays empty."""
     ship(spark)
-    return keep_quality(docs, fit_quality(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality")))
+    return keep_quality(docs, fit_quality_rows(labelled_rows(docs, table(spark, sf_dir, "labels"), "quality")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that are likelier toxic than not. Null and empty texts stay, repeated rows stay or go together,
+    """docs without those that are likelier toxic than not, by all of docs' labelled rows that aren't held out. Null and empty texts stay, repeated rows stay or go together,
     an empty table stays empty."""
     ship(spark)
-    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.FIT_ROWS)
-    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(sample))
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity_rows(labelled_rows(docs, table(spark, sf_dir, "labels"), "toxic")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -516,6 +516,68 @@ def test_toxicity(spark, sf, texts, samples):
         assert chances[r.grade] == pytest.approx(max(chances))
 
 
+def test_toxicity_of_all_rows_is_that_of_the_plain_fit(spark, sf):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    plain = toxicity.fit_toxicity(quality.labelled_sample(docs, labels, "toxic", 10**6, 10**6))
+    whole = toxicity.fit_toxicity_rows(quality.labelled_rows(docs, labels, "toxic"))
+    assert list(whole.weights) == list(plain.weights) and len(plain.weights) > 20
+    assert list(whole.weights.values()) == pytest.approx(list(plain.weights.values()), abs=1e-9)
+    assert whole.thresholds.tolist() == pytest.approx(plain.thresholds.tolist(), abs=1e-9)
+
+
+def test_newton_by_sums_is_the_plain_regression():
+    r = np.random.default_rng(3)
+    x = np.hstack([np.ones((300, 1)), r.normal(size=(300, 3))])
+    y = (x @ [0.3, 1, -2, 0] + r.logistic(size=300) > 0).astype(float)
+
+    def sums(w):
+        z, p = x @ w, 1 / (1 + np.exp(-x @ w))
+        return np.logaddexp(0, z).sum() - y @ z, x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x
+
+    assert quality.newton(sums, 4) == pytest.approx(quality.logistic(x, y), abs=1e-9)
+
+
+def test_digests_take_all_rows(spark, monkeypatch):
+    """Each leaf's texts repeat phrases of their own: what a tree of digests keeps serves the texts of every leaf. Few texts are
+    kept whole."""
+    monkeypatch.setattr(quality, "LEAF_BYTES", 100_000)
+    monkeypatch.setattr(quality, "FAN", 2)
+    r = random.Random(4)
+    said = [[" ".join(f"{r.randrange(10**6):06}" for _ in range(6)) for _ in range(60)] for _ in range(4)]
+    leaf = [x[0] for x in spark.range(2000).select(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(4))).collect()]
+    rows = [(i, ". ".join(r.choices(said[leaf[i]], k=8)), 1, i % 2) for i in range(2000)] + [(i, f"text {i}", 0, i % 2) for i in range(2000, 2100)]
+    assert 300_000 < max(sum(len(t) for _, t, y, f in rows if (y, f) == (1, k)) for k in (0, 1)) <= 400_000  # four leaves a fold
+    got = quality.fold_digests(spark.createDataFrame(rows, "doc_id long, text string, label int, fold int"), quality.Scratch(spark), 20_000)
+    assert {k: sorted(got[0, k]) for k in (0, 1)} == {k: sorted(t.encode() for _, t, y, f in rows if (y, f) == (0, k)) for k in (0, 1)}
+    assert all(sum(map(len, got[1, k])) <= 40_000 for k in (0, 1))
+    ours, none = quality.compressors(quality.dictionary(got[1, 0] + got[1, 1], 20_000), b" " * 8)
+    for k in range(4):
+        with_it, without = (sum(len(c.compress(t.encode())) for i, t, *_ in rows[:2000] if leaf[i] == k) for c in (ours, none))
+        assert with_it < 0.7 * without, (k, with_it / without)
+
+
+@pytest.mark.parametrize("kind", ["quality", "toxic"])
+def test_stages_learn_from_rows_beyond_the_sample(spark, tmp_path, kind):
+    """Rows that a bounded sample of the class leaves out have a kind of their own; held out rows of that kind go."""
+    r = random.Random(6)
+    bound = quality.FIT_ROWS if kind == "quality" else toxicity.FIT_ROWS
+    vocabulary = [f"{a}{b}{c}" for a in ("ba", "do", "ki") for b in ("ru", "sel", "tan", "mo") for c in ("n", "ff", "st", "lo", "x")]
+    ids = spark.range(9000).where(quality.learnable(F.col("id"))).orderBy(F.xxhash64("id", F.lit(7)), "id").collect()
+    bad = {x.id: "gruk" for x in ids[: bound]} | {x.id: "zwolp" for x in ids[bound : bound + 150]}
+    held = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 == 1][:60]
+    rows = []
+    for i in [*bad, *(x.id for x in ids[bound + 150 : bound + 1150]), *held]:
+        words, sign = r.choices(vocabulary, k=30), bad.get(i, "zwolp" if i in held[:30] else None)
+        for k in r.sample(range(30), 10) if sign else ():
+            words[k] = sign
+        rows.append((i, " ".join(words), int((sign is None) == (kind == "quality"))))
+    spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, y) for i, _, y in rows], f"doc_id long, {kind} int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage = dict(corpus_pipeline.STAGES)["quality" if kind == "quality" else "toxicity"]
+    left = {x.doc_id for x in stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    assert sum(i in left for i in held[30:]) == 30 and not any(i in left for i in held[:30])
+
+
 def test_severities_are_of_other_folds():
     """A word that only one fold's rows hold tells nothing of them."""
     bad, odd = "plain words and insult here", "plain words and strange here"
