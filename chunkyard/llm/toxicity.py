@@ -380,7 +380,8 @@ def telling_words(rows: DataFrame, n: dict[tuple[int, int], int]) -> list[set[st
 
 def fit_toxicity_rows(rows: DataFrame) -> ToxicityModel:
     """fit_toxicity() on all rows (doc_id, text, label) of quality.labelled_rows(), however many: what it counts on the
-    driver is counted by tasks here, and the regression is fitted to distinct rows of features and how often each occurs."""
+    driver is counted by tasks here, and the regression is fitted to distinct rows of features and how often each occurs. All rows of
+    a class together weigh at most as much as FIT_ROWS, so that either class weighs what it does in the bounded sample."""
     spark, tmp = rows.sparkSession, Scratch(rows.sparkSession)
     rows = tmp.save(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
     rows = tmp.save(in_folds(tmp.save(unlike_rows(rows, tmp))))
@@ -406,7 +407,9 @@ def fit_toxicity_rows(rows: DataFrame) -> ToxicityModel:
     grade = F.when(F.col("label") == 1, sum((F.col("severity") > float(c)).cast("int") for c in cut) + 1).otherwise(0)
     distinct = described.groupBy("held", grade.alias("grade")).count().orderBy("held", "grade").toArrow()
     used, grades = np.unique(distinct["grade"].to_numpy(), return_inverse=True)  # without gaps
-    w, theta = fit_ordinal(distinct["held"].to_pylist(), grades, len(telling), times=distinct["count"].to_numpy().astype(float))
+    toxic = (distinct["grade"].to_numpy() > 0).astype(int)
+    times = distinct["count"].to_numpy() * np.array([min(1, FIT_ROWS / c) for c in of])[toxic]
+    w, theta = fit_ordinal(distinct["held"].to_pylist(), grades, len(telling), times=times)
     return ToxicityModel(dict(zip(telling, w.tolist(), strict=True)), theta.tolist())
 
 

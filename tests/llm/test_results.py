@@ -525,6 +525,18 @@ def test_toxicity_of_all_rows_is_that_of_the_plain_fit(spark, sf):
     assert whole.thresholds.tolist() == pytest.approx(plain.thresholds.tolist(), abs=1e-9)
 
 
+def test_a_class_of_many_rows_weighs_no_more_than_the_sample(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, " ".join([f"u{r.randrange(10**6)}" for _ in range(20)] + ["insult"] * (i < 40 or i >= 390)), int(i < 60)) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    free = toxicity.fit_toxicity_rows(d)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 60)
+    even = toxicity.fit_toxicity_rows(d)
+    assert set(free.weights) == set(even.weights) == {"=insult", "insu", "insul", "insult"}
+    assert even.above([even.evidence("an insult")])[0, 0] > free.above([free.evidence("an insult")])[0, 0]
+    assert even.thresholds[0] < free.thresholds[0]
+
+
 def test_newton_by_sums_is_the_plain_regression():
     r = np.random.default_rng(3)
     x = np.hstack([np.ones((300, 1)), r.normal(size=(300, 3))])
